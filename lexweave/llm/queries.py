@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import boilerplate, copies, splits
+from lexweave.llm import boilerplate, copies, neardup, overlap, splits
 from lexweave.session import shared_dir
 
 
@@ -15,6 +15,22 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _across(spark, d):
+    return overlap.CrossSplit(_t(spark, d, "policy_clauses"), _t(spark, d, "split_assignments"))
+
+
+def p1_found(spark, d):
+    return _across(spark, d).pairs().select(F.col("id_a").alias("clause_id_a"), F.col("id_b").alias("clause_id_b"))
+
+
+def p1_overlaps(spark, d):
+    return _across(spark, d).records().withColumnRenamed("id", "clause_id")
+
+
+def p1_report(spark, d):
+    return overlap.report(_t(spark, d, "policy_clauses"), _t(spark, d, "split_assignments"))
+
+
 def _ledger(spark, d):
     clauses = _t(spark, d, "policy_clauses").select("clause_id", "app_name", "clause_text", "ingested_at")
     ledger = copies.CopyLedger(spark, f"{shared_dir(spark)}/lexweave-ledger-{uuid.uuid4().hex}", buckets=16)
@@ -54,7 +70,21 @@ def p4_clean_blocks(spark, d):
     return out.select(F.col("id").alias("clause_id"), "clean_text", "n_removed")
 
 
+def p6_groups(spark, d):
+    return neardup.groups(_t(spark, d, "policy_clauses"), "clause_id", "clause_text").withColumnRenamed("id", "clause_id")
+
+
+def p6_found(spark, d):
+    out = neardup.groups(_t(spark, d, "policy_clauses"), "clause_id", "clause_text").where("id <> group_id")
+    return out.select(F.col("group_id").alias("group_clause_id"), F.col("id").alias("clause_id")).distinct()
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_overlaps": p1_overlaps,
+    "p1_report": p1_report,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p2_found": p2_found,
     "p2_copy_counts": p2_copy_counts,
     "p3_found": p3_found,
