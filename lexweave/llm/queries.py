@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import boilerplate, copies, neardup, overlap, splits
+from lexweave.llm import boilerplate, copies, leakage, neardup, overlap, packing, reading, splits
 from lexweave.session import shared_dir
 
 
@@ -79,6 +79,36 @@ def p6_found(spark, d):
     return out.select(F.col("group_id").alias("group_clause_id"), F.col("id").alias("clause_id")).distinct()
 
 
+def p8_pack(spark, d):
+    return packing.containers(_t(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p8_usage(spark, d):
+    return packing.usage(p8_pack(spark, d))
+
+
+def p9_leaks(spark, d):
+    return leakage.matches(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
+def p9_found(spark, d):
+    return p9_leaks(spark, d).where(F.col("run_words") >= leakage.MIN_RUN).select("item_id", "doc_id")
+
+
+def _levels(spark, d):
+    return reading.score(_t(spark, d, "documents"), reading.train(_t(spark, d, "reading_samples")))
+
+
+def p10_found(spark, d):
+    return _levels(spark, d).select("doc_id", "level_no").distinct()
+
+
+def p10_profile(spark, d):
+    source = _t(spark, d, "documents").select("doc_id", "source")
+    out = _levels(spark, d).join(source, "doc_id").groupBy("source", "level_no")
+    return out.agg(F.count("*").alias("n_docs"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
@@ -91,4 +121,10 @@ QUERIES = {
     "p3_splits": p3_splits,
     "p4_found": p4_found,
     "p4_clean_blocks": p4_clean_blocks,
+    "p8_pack": p8_pack,
+    "p8_usage": p8_usage,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
 }
