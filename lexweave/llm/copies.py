@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.keys import alnum, name_key, reject_missing
+from lexweave.session import materialize
 
 CELL = r"(?s)^\s*[^:]*[A-Za-z0-9][^:]*:\s*\S.*$"
 CELL_BREAK = r"[|\t\n\r]"
@@ -27,21 +28,23 @@ MIN_CELLS = 3
 def canonical(text: Column) -> Column:
     """'' for texts without a-z0-9, else the canonical form ('T' and 'C' keep plain and cell forms apart)."""
     cells = F.filter(F.split(text, CELL_BREAK), lambda x: F.trim(x) != "")
-    is_table = (F.size(cells) >= MIN_CELLS) & F.forall(cells, lambda x: x.rlike(CELL))
-    plain = alnum(text)
+    colons = F.length(text) - F.length(F.translate(text, ":", ""))
+    is_table = (colons >= MIN_CELLS) & (F.size(cells) >= MIN_CELLS) & F.forall(cells, lambda x: x.rlike(CELL))
     table = F.concat(F.lit("C"), F.array_join(F.array_sort(F.transform(cells, alnum)), "|"))
-    return F.when(plain == "", F.lit("")).when(is_table, table).otherwise(F.concat(F.lit("T"), plain))
+    return F.when(is_table, table).otherwise(F.regexp_replace(F.concat(F.lit("T"), alnum(text)), "^T$", ""))
 
 
 def keyed(df: DataFrame, text: str, owner: str | None, id_col: str, buckets: int) -> DataFrame:
     """(bucket, key, id): key is a 128-bit digest of owner key and canonical text; distinct."""
     reject_missing(df, text, id_col, *([owner] if owner else []))
     own = name_key(F.col(owner)) if owner else F.lit("")
-    form = canonical(F.col(text))
+    # the generator keeps the optimizer from working out the form once for the filter and again for the digest
+    form = F.explode(F.array(F.struct(own.alias("own"), canonical(F.col(text)).alias("form"))))
     return (
-        df.select(F.col(id_col).cast("string").alias("id"), own.alias("own"), form.alias("form"))
-        .where(F.col("id").isNotNull() & F.col("own").isNotNull() & (F.coalesce(F.col("form"), F.lit("")) != ""))
-        .select(F.unhex(F.md5(F.concat_ws("\x1f", "own", "form"))).alias("key"), "id")
+        df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull())
+        .select(F.col(id_col).cast("string").alias("id"), form.alias("k"))
+        .where("k.own is not null and k.form <> ''")
+        .select(F.unhex(F.md5(F.concat_ws("\x1f", "k.own", "k.form"))).alias("key"), "id")
         .select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "id")
         .distinct()
     )
@@ -83,6 +86,7 @@ class CopyLedger:
 
     def update(self, batch: DataFrame) -> None:
         """batch: (bucket, key, id) from keyed(). Reads and rewrites only the buckets that the batch touches."""
+        batch = materialize(batch, "batch")
         touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most self.buckets numbers
         if not touched:
             return
