@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import boilerplate, copies, leakage, neardup, overlap, packing, reading, splits
+from lexweave.llm import boilerplate, chunking, copies, leakage, neardup, overlap, packing, reading, splits
 from lexweave.session import shared_dir
 
 
@@ -70,6 +70,16 @@ def p4_clean_blocks(spark, d):
     return out.select(F.col("id").alias("clause_id"), "clean_text", "n_removed")
 
 
+def p5_found(spark, d):
+    at = chunking.boundary_rows(_t(spark, d, "policy_clauses"), "clause_id", "clause_text")
+    return at.select(F.col("id").alias("clause_id"), "boundary_at").distinct()
+
+
+def p5_pieces(spark, d):
+    out = chunking.pieces(_t(spark, d, "policy_clauses"), "clause_id", "clause_text", "section_heading")
+    return out.withColumnsRenamed({"id": "clause_id", "heading": "section_heading", "piece": "piece_text"})
+
+
 def p6_groups(spark, d):
     return neardup.groups(_t(spark, d, "policy_clauses"), "clause_id", "clause_text").withColumnRenamed("id", "clause_id")
 
@@ -113,6 +123,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
     "p1_report": p1_report,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p2_found": p2_found,
