@@ -110,9 +110,10 @@ def _marks(least: int):
             for block, lows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if block not in once:
                     once[block], twice[block] = np.zeros(n, bool), np.zeros(n, bool)
-                c = np.bincount(np.frombuffer(lows, np.uint16), minlength=n)
-                twice[block] |= (c > 1) | (once[block] & (c > 0))
-                once[block] |= c > 0
+                low = np.frombuffer(lows, np.uint16)  # sorted
+                twice[block][low[1:][low[1:] == low[:-1]]] = True
+                twice[block][low[once[block][low]]] = True
+                once[block][low] = True
         for block in once:
             bits = np.packbits((twice if least > 1 else once)[block]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"])
