@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import boilerplate, chunking, copies, leakage, neardup, overlap, packing, reading, splits
+from lexweave.llm import boilerplate, chunking, copies, leakage, neardup, ocr, overlap, packing, reading, splits
 from lexweave.session import shared_dir
 
 
@@ -89,6 +89,18 @@ def p6_found(spark, d):
     return out.select(F.col("group_id").alias("group_clause_id"), F.col("id").alias("clause_id")).distinct()
 
 
+def _repair(spark, d):
+    return ocr.Repair(_t(spark, d, "raw_clauses"), _t(spark, d, "pages_in"))
+
+
+def p7_found(spark, d):
+    return _repair(spark, d).found()
+
+
+def p7_paragraphs(spark, d):
+    return _repair(spark, d).paragraphs()
+
+
 def p8_pack(spark, d):
     return packing.containers(_t(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -133,6 +145,8 @@ QUERIES = {
     "p3_splits": p3_splits,
     "p4_found": p4_found,
     "p4_clean_blocks": p4_clean_blocks,
+    "p7_found": p7_found,
+    "p7_paragraphs": p7_paragraphs,
     "p8_pack": p8_pack,
     "p8_usage": p8_usage,
     "p9_found": p9_found,
