@@ -31,7 +31,7 @@ CONFUSIONS = (
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 HYPHENS = "\\-‐¬\u00ad"
 PAGE_LINE = (
-    r"(?i)\A[^\p{L}\p{N}]*(?:(?:p|pg|[pf]a[gq9][ec])[.:]?\s*)?[0-9lIOoi!]{1,4}(?:\s*(?:[o0]f|[o0]t|/)\s*[0-9lIOoi!]{1,4})?[^\p{L}\p{N}.]*\z"
+    r"(?i)\A[^\p{L}\p{N}]*(?:(?:p|pg|[pf]\s*a\s*[gq9]\s*[ec])[.:]?\s*)?[0-9lIOoi!]{1,4}(?:\s*(?:[o0]f|[o0]t|/)\s*[0-9lIOoi!]{1,4})?[^\p{L}\p{N}.]*\z"
 )
 LETTERS_RATIO, SIGNS_RATIO, LEAST = 5, 2, 4
 
