@@ -67,14 +67,18 @@ def registers(flat: np.ndarray, off: np.ndarray, count: int, first: int = 0) ->
     rng = np.random.default_rng(20240101)
     a = rng.integers(0, 2**31, 4096, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = rng.integers(0, 2**32, 4096, dtype=np.uint32)
-    starts = off[:-1]
-    out = np.empty((len(starts), count), np.uint32)
-    h = np.empty_like(flat)
-    for j in range(count):
-        np.bitwise_xor(flat, b[first + j], out=h)
-        np.multiply(h, a[first + j], out=h)
-        least = np.minimum.reduceat(h, starts)
-        out[:, j] = least.astype(np.float32).view(np.uint32) >> np.uint32(13)
+    n = np.diff(off)
+    out = np.empty((len(n), count), np.uint32)
+    order = np.argsort(n, kind="stable")
+    for at in range(0, len(order), 256):  # records of like length side by side; the last word is repeated to fill up
+        some = order[at : at + 256]
+        steps = np.arange(n[some].max())[:, None]
+        block = flat[off[:-1][some] + np.minimum(steps, n[some] - 1)]
+        h = np.empty_like(block)
+        for j in range(count):
+            np.bitwise_xor(block, b[first + j], out=h)
+            np.multiply(h, a[first + j], out=h)
+            out[some, j] = h.min(axis=0).astype(np.float32).view(np.uint32) >> np.uint32(13)
     return out
 
 
