@@ -151,7 +151,7 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def candidates(sets: DataFrame, keys, mismatches: int = KEEP_MISMATCH) -> DataFrame:
-    """(a, b, shared): pairs of nodes a < b that share a key, with the sum of the shared keys' lengths; materialised.
+    """(a, b, shared): pairs of nodes a < b that share a key, with the sum of the shared keys' lengths on both sides; materialised.
 
     keys(flat, off) -> (row index, uint64 key, length, 128-bit payload of every record as two int64 arrays).
     """
@@ -178,12 +178,13 @@ def candidates(sets: DataFrame, keys, mismatches: int = KEEP_MISMATCH) -> DataFr
                 ["key", "node", "p", "q", "len"],
             )
 
-    kept = materialize(source.mapInArrow(rows, "key bigint, node bigint, p bigint, q bigint, len int"), "keys").distinct()
+    # one exchange by key serves the deduplication (copies met by different tasks) and both sides of the join
+    kept = source.mapInArrow(rows, "key bigint, node bigint, p bigint, q bigint, len int").repartition("key").dropDuplicates(["key", "node"])
     x = kept.select("key", F.col("node").alias("a"), F.col("p").alias("pa"), F.col("q").alias("qa"), "len")
-    y = kept.select("key", F.col("node").alias("b"), F.col("p").alias("pb"), F.col("q").alias("qb"))
+    y = kept.select("key", F.col("node").alias("b"), F.col("p").alias("pb"), F.col("q").alias("qb"), F.col("len").alias("len_b"))
     off = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
     near = x.join(y, "key").where((F.col("a") < F.col("b")) & (off <= mismatches))
-    return materialize(near.groupBy("a", "b").agg(F.sum("len").alias("shared")), "pairs")
+    return materialize(near.groupBy("a", "b").agg(F.sum(F.col("len") + F.col("len_b")).alias("shared")), "pairs")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
