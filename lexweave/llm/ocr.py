@@ -93,9 +93,9 @@ def lines_of(blocks: DataFrame) -> DataFrame:
         "clause_id", "doc", "page", "app_key", "scanned", "line_no", "line",
         (F.col("line_no") == F.col("lo")).alias("first"),
         (F.col("line_no") == F.col("hi")).alias("last"),
-        (F.col("line").rlike(cut) & F.coalesce(nxt.rlike(goes_on), F.lit(False))).alias("cut"),
-        (F.coalesce(prv.rlike(cut), F.lit(False)) & F.col("line").rlike(goes_on)).alias("tail"),
-        F.when(F.col("line").rlike(cut), F.regexp_extract(nxt, r"^\s*(\S+)", 1)).alias("next_token"),
+        (F.col("scanned") & F.col("line").rlike(cut) & F.coalesce(nxt.rlike(goes_on), F.lit(False))).alias("cut"),
+        (F.col("scanned") & F.coalesce(prv.rlike(cut), F.lit(False)) & F.col("line").rlike(goes_on)).alias("tail"),
+        F.when(F.col("scanned") & F.col("line").rlike(cut), F.regexp_extract(nxt, r"^\s*(\S+)", 1)).alias("next_token"),
     )
 
 
@@ -126,8 +126,11 @@ def tokens_of(lines: DataFrame) -> DataFrame:
 
 def word_counts(tokens: DataFrame) -> DataFrame:
     """(word, n, n_low): how often each word stands whole in all blocks, and how often with a small first letter."""
+    # written out, so that the filter on words below isn't pushed to every token: punctuation is cut off distinct tokens only
+    each = materialize(tokens.where("role = 'word'").groupBy("token").agg(F.count("*").alias("n")), "each")
     low = F.col("token").rlike(r"^[^\p{L}\p{N}]*[\p{Ll}0-9]")
-    return tokens.where("role = 'word'").groupBy(core(F.col("token")).alias("word")).agg(F.count("*").alias("n"), F.count_if(low).alias("n_low")).where("word <> ''")
+    each = each.select(core(F.col("token")).alias("word"), "n", F.when(low, F.col("n")).otherwise(0).alias("n_low"))
+    return each.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_low").alias("n_low")).where("word <> ''")
 
 
 def corrections(suspects: DataFrame, counts: DataFrame) -> DataFrame:
@@ -169,30 +172,26 @@ class Repair:
         self.out = materialize(furniture(lines), "furniture")
         self.counts = materialize(word_counts(tokens_of(lines)), "counts")
         body = self.lines.join(self.out.select("clause_id", "line_no"), ["clause_id", "line_no"], "left_anti")
-        toks = tokens_of(body).drop("scanned")
+        self.tokens = materialize(tokens_of(body).drop("scanned"), "tokens")
+        # words are worked out for distinct tokens and for words cut at a line's end, not for every token of every page
+        kinds = materialize(self.tokens.where("role <> 'tail'").select("role", "token", F.when(F.col("role") == "head", F.col("next_token")).alias("next_token")).distinct(), "kinds")
+        self.words = kinds.where("role = 'word'").select("token", core(F.col("token")).alias("word"))
         head = F.regexp_replace("token", rf"[{HYPHENS}]+$", "")
-        whole = core(F.concat(head, F.col("next_token")))
-        apart = core(F.concat(head, F.lit("-"), F.col("next_token")))
-        is_head = F.col("role") == "head"
-        self.tokens = materialize(
-            toks.select(
-                "clause_id", "line_no", "tok_no", "token", "next_token", "role",
-                F.when(is_head, whole).otherwise(core(F.col("token"))).alias("word"),
-                F.when(is_head, apart).alias("apart"),
-                F.when(is_head, core(head)).alias("left"),
-                F.when(is_head, core(F.col("next_token"))).alias("right_part"),
-            ),
-            "tokens",
+        self.heads = kinds.where("role = 'head'").select(
+            "token", "next_token",
+            core(F.concat(head, F.col("next_token"))).alias("word"),
+            core(F.concat(head, F.lit("-"), F.col("next_token"))).alias("apart"),
+            core(head).alias("left"),
+            core(F.col("next_token")).alias("right_part"),
         )
-        suspects = self.tokens.where("role <> 'tail' and word <> ''").select("word").distinct()
+        suspects = self.words.select("word").union(self.heads.select("word")).where("word <> ''").distinct()
         self.fixes = materialize(corrections(suspects, self.counts), "fixes")
 
     def judged(self) -> DataFrame:
         """tokens with `repaired`: null where nothing is wrong, else the word as it should be."""
         n = lambda c, name: self.counts.select(F.col("word").alias(c), F.col("n").alias(name))
-        # four joins on words; the counts of words at line ends are few rows against the vocabulary
         heads = (
-            self.tokens.where("role = 'head'").select("word", "apart", "left", "right_part").distinct()
+            self.heads
             .join(n("word", "n_word"), "word", "left").join(n("apart", "n_apart"), "apart", "left")
             .join(n("left", "n_left"), "left", "left").join(n("right_part", "n_right_part"), "right_part", "left")
             .join(self.fixes.withColumnRenamed("right", "fixed"), "word", "left")
@@ -200,12 +199,12 @@ class Repair:
         zero = lambda c: F.coalesce(c, F.lit(0))
         joined = F.greatest(zero("n_word"), zero("n_right"))
         compound = (zero("n_apart") > joined) | ((joined == 0) & (zero("n_left") >= LEAST) & (zero("n_right_part") >= LEAST))
-        heads = heads.select("word", "apart", F.when(~compound, F.coalesce("fixed", "word")).alias("joined"))
-        fixed = self.fixes.select("word", F.col("right").alias("fixed"))
-        plain = self.tokens.where("role <> 'head'").join(fixed, "word", "left").withColumn("repaired", F.when(F.col("role") == "word", F.col("fixed")))
-        cut = self.tokens.where("role = 'head'").join(heads, ["word", "apart"], "left").withColumn("repaired", F.col("joined"))
+        heads = heads.select("token", "next_token", F.when(~compound, F.coalesce("fixed", "word")).alias("repaired"))
+        fixed = self.words.join(self.fixes.select("word", F.col("right").alias("repaired")), "word").select("token", "repaired")
+        word = self.tokens.where("role = 'word'").join(fixed, "token", "left")
+        cut = self.tokens.where("role = 'head'").join(heads, ["token", "next_token"], "left")
         cols = ["clause_id", "line_no", "tok_no", "token", "next_token", "role", "repaired"]
-        return plain.select(*cols).unionByName(cut.select(*cols))
+        return word.select(*cols).unionByName(cut.select(*cols))
 
     def found(self) -> DataFrame:
         """(clause_id, line_no, found_text): repaired words, and '' for headers and page numbers."""
