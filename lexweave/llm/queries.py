@@ -131,6 +131,7 @@ def p10_profile(spark, d):
     return out.agg(F.count("*").alias("n_docs"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
+SQL: dict[str, str] = {}
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
