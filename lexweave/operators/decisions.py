@@ -65,3 +65,15 @@ def grid_search(df: DataFrame, truth: str, p_yes: str, p_part: str, grid: list[t
     ok = rep.where((F.col("label") == LABELS[0]) & (F.col("precision") >= least_precision)).select("pos")
     f1 = rep.groupBy("pos", "t_yes", "t_part").agg(F.avg("f1").alias("macro_f1")).join(ok, "pos")
     return f1.orderBy(F.round("macro_f1", 12).desc(), "pos").limit(1).select("t_yes", "t_part", "macro_f1")
+
+
+def best_checkpoint(scores: DataFrame, model: str, truth: str, guess: str) -> DataFrame:
+    """(model, macro_f1, place): models by macro F1 on rows of the validation split, best first; ties by name."""
+    s = summary(report(confusion(scores, truth, guess, LABELS, model), model), model)
+    w = Window.partitionBy(F.lit(1)).orderBy(F.round("macro_f1", 12).desc(), model)  # one row for each model
+    return s.select(model, "macro_f1", F.row_number().over(w).alias("place"))
+
+
+def accepted(old_macro: Column, new_macro: Column, worst_drop: Column, gain: float = 0.01, drop: float = 0.02) -> Column:
+    """Whether a change gains enough overall and costs no class too much."""
+    return F.when((new_macro - old_macro >= gain) & (worst_drop <= drop), "ACCEPT").otherwise("REJECT")

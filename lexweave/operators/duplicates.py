@@ -88,8 +88,8 @@ def leaders(ids: DataFrame, pairs: DataFrame, best: bool = True) -> DataFrame:
         lead = materialize(lead.union(rest.join(blocked, "id", "left_anti")), "leaders")
         open_, left = rest.join(lead, "id", "left_anti"), rest.count()
     follow = pairs.join(lead.withColumnRenamed("id", "id_a"), "id_a").join(lead.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
-    rank = F.struct(F.col("sim"), ) if best else F.struct(F.lit(0.0).alias("sim"))
-    w = Window.partitionBy("id_b").orderBy(rank.desc(), F.col("id_a"))
+    order = [F.col("sim").desc(), F.col("id_a")] if best else [F.col("id_a")]
+    w = Window.partitionBy("id_b").orderBy(*order)
     follow = follow.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("id_b").alias("id"), F.col("id_a").alias("leader"), "sim")
     return lead.select("id", F.col("id").alias("leader"), F.lit(1.0).alias("sim")).union(follow)
 
@@ -120,3 +120,20 @@ def merge_entries(df: DataFrame, keys: list[Column], ids: str, *order: str) -> D
     g = df.select(*df.columns, *named).groupBy(*[f"_k{i}" for i in range(len(keys))])
     out = g.agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(ids)))).alias(ids), F.count("*").alias("n_merged"))
     return out.select(*[F.col(f"r.{c}").alias(c) for c in rest], ids, "n_merged")
+
+
+def distinct_entries(entries: DataFrame, id_col: str, ids: str, category: str, text: str, num: int = 85, den: int = 100) -> DataFrame:
+    """(clause_id, id): of the entries that cite one clause, every category keeps those that aren't near-duplicates (by Jaccard)
+    of an entry kept before, in id order."""
+    one = entries.select(F.explode(F.array_distinct(ids)).alias("clause_id"), F.col(id_col).alias("_e"), F.col(category).alias("_c"), T.tokens(F.col(text)).alias("_tok"))
+    one = one.withColumn("_id", F.concat_ws("\u0001", "clause_id", "_c", "_e")).withColumn("_b", F.concat_ws("\u0001", "clause_id", "_c"))
+    pairs = similar_pairs(one, "_id", "_tok", num, den, "_b").select("id_a", "id_b", F.lit(1.0).alias("sim"))
+    kept = leaders(one.select(F.col("_id").alias("id")), pairs).where("id = leader").select(F.split("id", "\u0001").alias("k"))
+    return kept.select(F.get("k", F.lit(0)).alias("clause_id"), F.get("k", F.lit(2)).alias("id"))
+
+
+def tfidf_pairs(weights: DataFrame, least: float) -> DataFrame:
+    """(id_a, id_b, sim) from (id, term, weight) with unit norm: cosine over shared terms, at least `least`."""
+    x, y = weights.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("wa")), weights.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("wb"))
+    p = x.join(y, "term").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    return p.where(F.col("sim") >= least)

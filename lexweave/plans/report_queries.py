@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import lexicons as L
 from lexweave.functions import text as T
-from lexweave.operators import curation, decisions, features, sampling, scorecard, segment, taxonomy
+from lexweave.operators import curation, decisions, duplicates, features, models, sampling, scorecard, segment, taxonomy
 from lexweave.plans.registry import Query, lit, sql_canonical, sql_line, table
 from lexweave.plans.structure_queries import LAST, ONE, _labels, _one
+from lexweave.sources.readers import records
 
 ACTS = ["HARROW_DATA_ACT", "HARROW_DATA_RULES", "ORLEN_NETWORK_ACT"]
 KEY = "regexp_replace(lower(app_name), '[^a-z0-9]+', '', 'g')"
@@ -212,8 +213,38 @@ FEATURES = [
     Query("met_cv_summary", lambda s, d: sampling.folds(_probabilities(s, d), "clause_id", "verdict", 5).groupBy("fold").agg(F.avg("p_yes").alias("m")).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("std"), F.round(F.median("m"), 6).alias("median")), f"select round(avg(m), 6) as mean, round(stddev_pop(m), 6) as std, round(median(m), 6) as median from (select (r - 1) % 5 fold, avg(p_yes) m from (select p.*, row_number() over (partition by verdict order by sha256('42:' || clause_id), clause_id) r from {PROB} p) group by 1)"),
 ]
 
+def _predicted(spark, d):
+    """Labels of clauses without a verdict, by a model fitted on the labelled ones."""
+    x = _labels(spark, d).join(_one(spark, d).select("clause_id", "clause_text"), "clause_id")
+    model = models.logistic(x.where("verdict is not null"), "clause_text", "verdict", steps=15)
+    return models.predict(model, x.where("verdict is null"), "clause_text").select("clause_id", "guess")
+
+
+def _scans(spark, d):
+    x = _probabilities(spark, d)
+    cells = F.array(*[F.struct(F.lit(f"m{i}").alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(CELLS[:4])])
+    x = x.select("*", F.explode(cells).alias("m")).withColumn("guess", decisions.decide(F.col("p_yes"), F.col("p_part"), F.col("m.a"), F.col("m.b")))
+    return decisions.best_checkpoint(x.withColumn("model", F.col("m.model")), "model", "verdict", "guess").withColumn("macro_f1", F.round("macro_f1", 6))
+
+
+SCAN_SQL = (
+    f"with g as (select unnest([{', '.join(f'{{model: {chr(39)}m{i}{chr(39)}, tc: {a}::double, tp: {b}::double}}' for i, (a, b) in enumerate(CELLS[:4]))}], recursive := true)), x as (select model, verdict truth, case when p_yes >= tc then 'Compliant' when p_part >= tp then 'Partially Compliant' else 'Not Addressed' end guess from {PROB}, g),"
+    " l as (select unnest(['Compliant', 'Partially Compliant', 'Not Addressed']) label), m as (select model, label, count(*) filter (truth = label and guess = label) h, count(*) filter (guess = label) g, count(*) filter (truth = label) s from x, l group by all),"
+    " f as (select model, avg(coalesce(2 * h / nullif(g + s, 0), 0)) macro from m group by model) select model, round(macro, 6) as macro_f1, (row_number() over (order by round(macro, 12) desc, model))::int as place from f"
+)
+TFIDF = f"(with t as (select taxonomy_id id, term, count(*) tf from (select taxonomy_id, unnest(regexp_extract_all({sql_canonical('requirement')}, '[a-z0-9]+')) term from rules) where length(term) > 1 group by 1, 2), i as (select term, ln((1 + (select count(distinct taxonomy_id) from rules)) / (1 + count(*))) + 1 idf from t group by 1), w as (select id, term, (1 + ln(tf)) * idf w from t join i using (term)) select id, term, w / sqrt(sum(w * w) over (partition by id)) weight from w)"
+
+MODELS = [
+    Query("ml_logreg", _predicted),
+    Query("met_checkpoint_scan", _scans, SCAN_SQL),
+    Query("met_accept", lambda s, d: _scans(s, d).where("place > 1").crossJoin(F.broadcast(_scans(s, d).where("place = 1").select(F.col("macro_f1").alias("best")))).select("model", decisions.accepted(F.col("macro_f1"), F.col("best"), F.lit(0.0)).alias("verdict")), f"with s as ({SCAN_SQL}) select model, case when (select macro_f1 from s where place = 1) - macro_f1 >= 0.01 then 'ACCEPT' else 'REJECT' end as verdict from s where place > 1"),
+    Query("sim_engine", lambda s, d: duplicates.tfidf_pairs(features.tfidf(table(s, d, "rules"), "taxonomy_id", "requirement"), 0.2).withColumn("sim", F.round("sim", 5)), f"with t as materialized {TFIDF} select id_a, id_b, round(sim, 5) as sim from (select a.id id_a, b.id id_b, sum(a.weight * b.weight) sim from t a join t b on a.term = b.term and a.id < b.id group by 1, 2) where sim >= 0.2"),
+    Query("dup_multi_map", lambda s, d: duplicates.distinct_entries(table(s, d, "rules"), "taxonomy_id", "source_clause_ids", "category", "requirement")),
+    Query("dup_near_policy", lambda s, d: duplicates.near_groups(_one(s, d).where("clause_text <> ''"), "clause_id", "clause_text", 98, 100).withColumnRenamed("id", "clause_id")),
+]
+
 SOURCES = [
-    Query("src_records", lambda s, d: _checked(table(s, d, "policy_clauses")), "select clause_id, coalesce(clause_text, '') as clause_text from policy_clauses where clause_id is not null"),
+    Query("src_records", lambda s, d: records(table(s, d, "policy_clauses")).select("clause_id", "clause_text"), "select clause_id, coalesce(clause_text, '') as clause_text from policy_clauses where clause_id is not null"),
     Query("src_unique_key", lambda s, d: table(s, d, "policy_clauses").groupBy("clause_id").agg(F.count("*").alias("n")).where("n > 1"), "select clause_id, count(*) as n from policy_clauses group by 1 having count(*) > 1"),
     Query("src_input_ids", lambda s, d: segment.numbered(_one(s, d).select("clause_id"), "clause_id").select("clause_id", F.format_string("INPUT-%07d", "pos").alias("input_id")), f"select clause_id, printf('INPUT-%07d', row_number() over (order by clause_id)) as input_id from {ONE}"),
     Query("src_records_rule", lambda s, d: table(s, d, "rules").where(~F.col("taxonomy_id").isin("TX-001", "TX-002")).groupBy("taxonomy_id").agg(F.min(T.display(F.col("requirement"))).alias("requirement")), f"select taxonomy_id, min({sql_line('requirement')}) as requirement from rules where taxonomy_id not in ('TX-001', 'TX-002') group by 1"),
@@ -221,10 +252,4 @@ SOURCES = [
 ]
 
 
-def _checked(df):
-    from lexweave.sources.readers import records
-
-    return records(df).select("clause_id", "clause_text")
-
-
-QUERIES = AGGREGATES + CURATION + SAMPLING + FEATURES + SOURCES
+QUERIES = AGGREGATES + CURATION + SAMPLING + FEATURES + MODELS + SOURCES

@@ -66,7 +66,12 @@ SEGMENT = [
     ),
     Query("seg_blocks", lambda s, d: _blocks(s, d).select("doc", "page_number", "block_no", T.line(F.col("block")).alias("block")), f"select doc, page_number, block_no, {sql_joined('block')} as block from ({BLOCK_SQL})"),
     Query("seg_block_counts", lambda s, d: _blocks(s, d).groupBy("doc", "page_number").agg(F.count("*").alias("n_blocks")), f"select doc, page_number, count(*) as n_blocks from ({BLOCK_SQL}) group by doc, page_number"),
-    Query("seg_heading_carry", _carry),
+    Query(
+        "seg_heading_carry",
+        _carry,
+        f"with b as (select doc, page_number, block_no, {sql_joined('block')} x from ({BLOCK_SQL})), h as (select *, {sql_heading('x', 140, 100, L.HEADING)} hd from b) select doc, page_number, block_no, hd as is_heading,"
+        " last_value(case when hd then x end ignore nulls) over (partition by doc order by page_number, block_no rows between unbounded preceding and 1 preceding) as section_heading from h",
+    ),
     Query("seg_build", lambda s, d: segment.build_clauses(_pages(s, d))),
     Query("seg_review", lambda s, d: segment.review_blocks(_pages(s, d))),
     Query("seg_subclauses", lambda s, d: table(s, d, SC).select("clause_id", F.explode(segment.subclauses(F.col("clause_text"))).alias("part"))),
