@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from lexweave.functions.keys import name_key, reject_missing
 
 
+LINES_MIN_DOCS = 8
+
+
 def line_key(line: Column) -> Column:
     """Lower case, each run of digits as one 0, only a-z0-9."""
     return F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), "[^a-z0-9]+", "")
@@ -57,7 +60,7 @@ def not_scanned(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return blocks.join(scanned, ["source_file", "page_start"], "left_anti")
 
 
-def repeated_lines(blocks: DataFrame, pages: DataFrame, min_docs: int = 8, min_share: float = 0.0) -> DataFrame:
+def repeated_lines(blocks: DataFrame, pages: DataFrame, min_docs: int = LINES_MIN_DOCS, min_share: float = 0.0) -> DataFrame:
     """(id, line_no): the lines to remove."""
     lines = lines_of(not_scanned(blocks, pages), "clause_id", "app_name", "source_file", "clause_text")
     often = frequent_lines(lines, min_docs, min_share).select("source_key", "line_hash")

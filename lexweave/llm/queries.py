@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import boilerplate, chunking, copies, leakage, neardup, ocr, overlap, packing, reading, splits
+from lexweave.llm.sql import SQL
 from lexweave.session import shared_dir
 
 
@@ -131,7 +132,6 @@ def p10_profile(spark, d):
     return out.agg(F.count("*").alias("n_docs"), F.round(F.avg("difficulty"), 3).alias("difficulty"))
 
 
-SQL: dict[str, str] = {}
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
@@ -155,3 +155,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_profile": p10_profile,
 }
+__all__ = ["QUERIES", "SQL"]
