@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INVISIBLE = "­​"  # fixed values: soft hyphen and zero-width space, dropped before words are taken
@@ -24,7 +24,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: w != "")
 
 
-def reject_missing(df, *columns: str) -> None:
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns added behind a generator: filters aren't pushed below it and expressions aren't copied from it, so a
+    costly column that several others use is worked out once for each row."""
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")
+    return df.select("*", made).select(*df.columns, *[F.col(f"_once.{k}").alias(k) for k in columns])
+
+
+def reject_missing(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")

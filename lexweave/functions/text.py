@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SPACES = r"(?U)\s+"
 ENDS = r"(?U)^\s+|\s+$"
+# White space beyond ASCII's, and the separators FS to US that count as white space too.
+WIDE = "\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
@@ -31,7 +32,7 @@ def normalize(c: Column) -> Column:
 
 def line(c: Column) -> Column:
     """All white space runs as one space, none at the ends."""
-    return strip(F.regexp_replace(c, SPACES, " "))
+    return F.trim(F.regexp_replace(F.translate(c, WIDE, " " * len(WIDE)), "[ \t\n\x0b\f\r]+", " "))
 
 
 def display(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.operators import decisions, features
+from lexweave.session import materialize
 
 
 def with_features(df: DataFrame, text: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _front(label: str, buckets: int) -> list:
 
 def logistic(df: DataFrame, text: str, label: str, c: float = 1.0, buckets: int = 1 << 12, steps: int = 50) -> PipelineModel:
     """Multinomial regression with balanced weights; c is the inverse penalty summed over rows, as regParam = 1 / (c * weights)."""
-    x = with_weight(with_features(df.where(F.col(label).isNotNull()), text), label)
+    x = materialize(with_weight(with_features(df.where(F.col(label).isNotNull()), text), label), "features")  # read by every stage's fit
     total = x.agg(F.sum("weight")).first()[0] or 1.0
     lr = LogisticRegression(family="multinomial", weightCol="weight", standardization=False, regParam=1.0 / (c * total), maxIter=steps)
     return Pipeline(stages=[*_front(label, buckets), lr]).fit(x)

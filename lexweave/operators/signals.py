@@ -5,8 +5,6 @@ A null text counts as ''. Terms are substrings of the canonical text, so 'use' i
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +18,11 @@ def whole(c: Column, patterns: list[str]) -> Column:
 
 
 def any_term(c: Column, terms: list[str]) -> Column:
-    """One alternation, so that c is worked out once and not once for each term."""
-    return c.rlike("|".join(re.escape(t) for t in terms))
+    """Give it a column, not an expression: c is read once for each term."""
+    out = F.lit(False)
+    for t in terms:
+        out = out | F.contains(c, F.lit(t))
+    return out
 
 
 def terms_found(c: Column, terms: list[str]) -> Column:
@@ -54,8 +55,8 @@ def bullet(c: Column) -> Column:
 
 
 def boilerplate_reason(c: Column, table: list[tuple[str, str]] = L.BOILERPLATE) -> Column:
-    """The first matching reason, else ''."""
-    s, out = T.display(c), None
+    """The first matching reason, else ''. c is a display() column."""
+    s, out = c, None
     for pattern, reason in table:
         out = (F if out is None else out).when(whole(s, [pattern]), F.lit(reason))
     return out.otherwise("")
@@ -77,9 +78,8 @@ def with_heading(c: Column, head: Column) -> Column:
     return T.canonical(F.concat(F.coalesce(head, F.lit("")), F.lit(" "), F.coalesce(c, F.lit(""))))
 
 
-def relevance(c: Column, head: Column, lexicon: dict[str, list[str]] = L.RELEVANCE, control: list[str] = L.CONTROL_WORDS) -> Column:
-    """Categories, with the control words as one more."""
-    s = with_heading(c, head)
+def relevance(s: Column, lexicon: dict[str, list[str]] = L.RELEVANCE, control: list[str] = L.CONTROL_WORDS) -> Column:
+    """Categories found in a with_heading() column, with the control words as one more."""
     more = F.when(any_term(s, control), F.array(F.lit("normative_or_conditional_language"))).otherwise(F.array().cast("array<string>"))
     return F.concat(categories_found(s, lexicon), more)
 
@@ -88,12 +88,13 @@ def relevance_level(score: Column) -> Column:
     return F.when(score >= 4, "high").when(score >= 2, "medium").when(score == 1, "low").otherwise("unknown")
 
 
-def statutory(c: Column, head: Column, lexicon: dict[str, list[str]] = L.STATUTORY) -> Column:
-    return categories_found(with_heading(c, head), lexicon)
+def statutory(s: Column, lexicon: dict[str, list[str]] = L.STATUTORY) -> Column:
+    """Categories found in a with_heading() column."""
+    return categories_found(s, lexicon)
 
 
-def normative(c: Column, head: Column, terms: list[str] = L.NORMATIVE) -> Column:
-    return any_term(with_heading(c, head), terms)
+def normative(s: Column, terms: list[str] = L.NORMATIVE) -> Column:
+    return any_term(s, terms)
 
 
 def statutory_score(categories: Column, is_normative: Column) -> Column:
@@ -111,8 +112,8 @@ def domain(name: Column) -> Column:
 
 
 def quality(c: Column, shortest: int, **present: Column) -> Column:
-    """Flags in order; present: flag name -> column that must hold more than white space."""
-    s = T.display(c)
+    """Flags in order of a display() column; present: flag name -> column that must hold more than white space."""
+    s = c
     flags = [F.when(s == "", "empty_clause_text"), F.when(F.length(s) < shortest, "very_short_text"), F.when(F.length(s) > 5000, "very_long_text")]
     flags += [F.when(F.trim(F.coalesce(v.cast("string"), F.lit(""))) == "", F.lit(k)) for k, v in present.items()]
     return F.array_compact(F.array(*flags))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import lexicons as L
 from lexweave.functions import text as T
+from lexweave.functions.keys import computed_once
 from lexweave.operators import signals as S
 from lexweave.plans.registry import Query, lit, sql_any, sql_canonical, sql_display, sql_heading, sql_line, sql_list, sql_whole, table
 
@@ -83,7 +84,8 @@ def _sql_categories(c: str, lexicon: dict[str, list[str]]) -> str:
 
 
 def _relevance(spark, d):
-    x = _statute(spark, d).select("clause_id", S.relevance(_c(), _h()).alias("cats"))
+    x = computed_once(_statute(spark, d), canon=S.with_heading(_c(), _h()))
+    x = computed_once(x, cats=S.relevance(F.col("canon")))
     return x.select("clause_id", F.array_join("cats", "|").alias("categories"), F.size("cats").alias("score"), S.relevance_level(F.size("cats")).alias("level"))
 
 
@@ -94,7 +96,8 @@ REL_SQL = (
 
 
 def _statutory(spark, d):
-    x = _policy(spark, d).select("clause_id", S.statutory(_c(), _h()).alias("cats"), S.normative(_c(), _h()).alias("normative"))
+    x = computed_once(_policy(spark, d).select("clause_id", "clause_text", "section_heading"), canon=S.with_heading(_c(), _h()))
+    x = computed_once(x, cats=S.statutory(F.col("canon")), normative=S.normative(F.col("canon")))
     score = S.statutory_score(F.col("cats"), F.col("normative"))
     return x.select("clause_id", F.array_join("cats", "|").alias("categories"), "normative", score.alias("score"), S.statutory_level(score).alias("level"))
 
@@ -127,21 +130,22 @@ ADMIN_SQL = (
 
 
 def _quality(c):
-    return S.quality(_c(), 12, missing_source_document=F.col("source_document"), missing_app_name=F.col("app_name"))
+    return S.quality(c, 12, missing_source_document=F.col("source_document"), missing_app_name=F.col("app_name"))
 
 
 def _triage(spark, d):
     """All triage columns of the policy clauses in one projection."""
-    x = _policy(spark, d).select(
-        "clause_id",
-        _quality(_c()).alias("flags"),
-        S.boilerplate_reason(_c()).alias("boilerplate_reason"),
-        S.domain(F.col("source_document")).alias("domain"),
-        S.statutory(_c(), _h()).alias("cats"),
-        S.normative(_c(), _h()).alias("normative"),
-        T.content_hash(_c()).alias("hash"),
-        "ingested_at",
-    )
+    x = _policy(spark, d).select("clause_id", "clause_text", "section_heading", "source_document", "app_name", "ingested_at")
+    x = computed_once(x, canon=S.with_heading(_c(), _h()), flat=T.display(_c()))
+    x = computed_once(
+        x,
+        flags=_quality(F.col("flat")),
+        boilerplate_reason=S.boilerplate_reason(F.col("flat")),
+        domain=S.domain(F.col("source_document")),
+        cats=S.statutory(F.col("canon")),
+        normative=S.normative(F.col("canon")),
+        hash=T.content_hash(_c()),
+    ).drop("canon", "flat")
     x = x.withColumn("score", S.statutory_score(F.col("cats"), F.col("normative")))
     return x.withColumn("queue", S.policy_queue(F.col("flags"), F.col("boilerplate_reason") != "", F.col("score"), F.col("domain")))
 
@@ -182,15 +186,15 @@ HEAD_SQL = (
 
 SIGNALS = [
     Query("sig_line_kinds", _headings, HEAD_SQL),
-    Query("sig_boilerplate", lambda s, d: _policy(s, d).select("clause_id", S.boilerplate_reason(_c()).alias("reason")), f"select clause_id, {_sql_reason(sql_display('clause_text'))} as reason from {PC}"),
+    Query("sig_boilerplate", lambda s, d: computed_once(_policy(s, d).select("clause_id", "clause_text"), flat=T.display(_c())).select("clause_id", S.boilerplate_reason(F.col("flat")).alias("reason")), f"select clause_id, {_sql_reason(sql_display('clause_text'))} as reason from {PC}"),
     Query("sig_admin", _admin, ADMIN_SQL),
     Query("sig_relevance", _relevance, REL_SQL),
     Query("sig_statutory", _statutory, STAT_SQL),
     Query("sig_domain", lambda s, d: _policy(s, d).select("clause_id", S.domain(F.col("source_document")).alias("domain")), f"select clause_id, {_sql_domain('source_document')} as domain from {PC}"),
-    Query("sig_quality", lambda s, d: _policy(s, d).select("clause_id", F.array_join(_quality(_c()), "|").alias("flags")), f"select clause_id, array_to_string({FLAGS_SQL}, '|') as flags from {PC}"),
+    Query("sig_quality", lambda s, d: computed_once(_policy(s, d), flat=T.display(_c())).select("clause_id", F.array_join(_quality(F.col("flat")), "|").alias("flags")), f"select clause_id, array_to_string({FLAGS_SQL}, '|') as flags from {PC}"),
     Query(
         "sig_priority_gov",
-        lambda s, d: _statute(s, d).select("clause_id", S.statute_queue(S.quality(_c(), 10, missing_page_start=F.col("page_start"), missing_source_file=F.col("source_file"), missing_source_act=F.col("source_act")), F.size(S.relevance(_c(), _h())), S.administrative_level(S.administrative(_c(), _h()))).alias("queue")),
+        lambda s, d: computed_once(_statute(s, d), canon=S.with_heading(_c(), _h())).select("clause_id", S.statute_queue(S.quality(T.display(_c()), 10, missing_page_start=F.col("page_start"), missing_source_file=F.col("source_file"), missing_source_act=F.col("source_act")), F.size(S.relevance(F.col("canon"))), S.administrative_level(S.administrative(_c(), _h()))).alias("queue")),
         "select s.clause_id, case when length(trim(coalesce(clause_text, ''))) < 10 or length(clause_text) > 5000 or page_start is null or trim(coalesce(source_file, '')) = '' or trim(coalesce(source_act, '')) = '' then 'quality_review'"
         " when score >= 2 then 'normal_or_high_relevance_review' when lv = 'possible' then 'administrative_review_optional' else 'standard_review' end as queue"
         f" from statutory_clauses s join ({REL_SQL}) r on r.clause_id = s.clause_id join (select clause_id, level lv from ({ADMIN_SQL})) a on a.clause_id = s.clause_id",
