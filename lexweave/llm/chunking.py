@@ -121,14 +121,16 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         end = best[0] if best else hi
         out.append((start, end))
         back = table.query(max(start + 1, end - overlap), end - 1) if overlap else None
-        start, done = (back[0] if back else end - overlap), end
+        cold = end - overlap if end - overlap > start else end  # no place to start at: so many characters, but never backwards
+        start, done = (back[0] if back else cold), end
     out.append((start, len(text)))
     return out
 
 
 def _long(df: DataFrame, id_col: str, text: str, limit: int, *keep: str) -> DataFrame:
     reject_missing(df, id_col, text, *keep)
-    rows = df.where(F.length(text) > limit).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"), *keep)
+    extra = [F.col(c).cast("string").alias("heading") for c in keep]
+    rows = df.where(F.length(text) > limit).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"), *extra)
     return rows.where("id is not null").dropDuplicates(["id"])
 
 
@@ -158,5 +160,4 @@ def pieces(df: DataFrame, id_col: str, text: str, heading: str, limit: int = LIM
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "piece_no", "start_at", "end_at", "heading", "piece"])
 
-    rows = _long(df, id_col, text, limit, heading).select("id", "text", F.col(heading).cast("string"))
-    return rows.mapInArrow(run, "id string, piece_no int, start_at int, end_at int, heading string, piece string")
+    return _long(df, id_col, text, limit, heading).mapInArrow(run, "id string, piece_no int, start_at int, end_at int, heading string, piece string")

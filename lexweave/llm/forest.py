@@ -78,7 +78,7 @@ def components(edges: DataFrame, limit: int = LIMIT, max_rounds: int = 60) -> Da
     )
     at = materialize(_forest(edges), "forest")
     n = at.count()
-    level = partitions_for(n, limit // 4)
+    level = partitions_for(n, max(1, limit // 4))
     while n > limit and level > 1:  # levels of merging: each onto a quarter of the partitions, by the tree's root
         level = max(1, level // 4)
         per = partitions_for(n, limit)

@@ -45,6 +45,9 @@ def sentences(text: str) -> list[list[str]]:
         w = WORD.findall(s)
         if w:
             out.append(w)
+    small = sum(w[0].islower() for s in out for w in s)
+    if small < 0.3 * sum(map(len, out)):  # capitals or title case throughout: case says nothing about names
+        out = [[w.lower() for w in s] for s in out]
     return [w for w in out if len(w) >= MIN_SENTENCE] or out
 
 
