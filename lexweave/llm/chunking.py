@@ -82,7 +82,7 @@ class StrongestCut:
         level = strength.astype(np.int64) << 40 | at.astype(np.int64)
         self.levels = [level]
         step = 1
-        while 2 * step <= len(level):
+        while 2 * step <= len(at):
             level = np.maximum(level[:-step], level[step:])
             self.levels.append(level)
             step *= 2
