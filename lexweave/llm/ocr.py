@@ -135,7 +135,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 
 def corrections(suspects: DataFrame, counts: DataFrame) -> DataFrame:
     """suspects(word) -> (word, right, n_right): the best variant of each word that has one."""
-    one = [(a, "", b, "", _delta((a, b)), 1) for a, b in CONFUSIONS]
+    one = [("", "", "", "", 0, 0)] + [(a, "", b, "", _delta((a, b)), 1) for a, b in CONFUSIONS]  # the first: a ligature and nothing else
     two = [(p[0], q[0], p[1], q[1], _delta(p) + _delta(q), 2) for p, q in combinations_with_replacement(CONFUSIONS, 2) if p[0] != q[1] and q[0] != p[1]]
     table = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(x, ("string", "string", "string", "string", "bigint", "int"), ("f1", "f2", "t1", "t2", "d", "cost"))]) for x in one + two])
     own = suspects.join(counts.select("word", F.col("n").alias("n_own")), "word", "left").select("word", F.coalesce("n_own", F.lit(0)).alias("n_own"))
@@ -154,7 +154,8 @@ def corrections(suspects: DataFrame, counts: DataFrame) -> DataFrame:
     enough = F.when(signs, F.col("n_right") >= SIGNS_RATIO * F.col("n_own")).otherwise(
         (F.col("n_right") >= LETTERS_RATIO * F.col("n_own")) & (F.col("n_right") >= LEAST) & (F.col("n_low") * 3 >= F.col("n_right"))
     )
-    fits = met.where(enough & F.when(F.col("t.cost") == 1, once).otherwise(twice))
+    written_out = (F.col("word") != F.col("plain")) & (F.col("plain") == right)
+    fits = met.where(enough & F.when(F.col("t.cost") == 0, written_out).when(F.col("t.cost") == 1, once).otherwise(twice))
     rank = F.struct(F.col("n_right"), -F.col("t.cost"), F.col("right"))
     best = fits.groupBy("word").agg(F.max(rank).alias("b")).select("word", F.col("b.right").alias("right"), F.col("b.n_right").alias("n_right"))
     # a ligature is damage in itself: without another variant the word is written out

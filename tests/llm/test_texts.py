@@ -108,10 +108,10 @@ def test_scanned_text(spark):
 
 
 def test_letters_of_misread_words(spark):
-    counts = spark.createDataFrame([("modern", 50, 50), ("under", 80, 70), ("nagaux", 9, 0), ("east", 90, 2), ("device", 40, 40), ("collect", 30, 30)], "word string, n long, n_low long")
-    bad = ["moclern", "undcr", "deviee", "co11ect", "urider", "uncler", "cast", "mp4", "b2c", "moderm", "1", "!nder"]
+    counts = spark.createDataFrame([("modern", 50, 50), ("under", 80, 70), ("nagaux", 9, 0), ("east", 90, 2), ("device", 40, 40), ("collect", 30, 30), ("profiles", 60, 60), ("profilcs", 2, 2)], "word string, n long, n_low long")
+    bad = ["moclern", "undcr", "deviee", "co11ect", "urider", "uncler", "cast", "mp4", "b2c", "moderm", "1", "!nder", "proﬁles", "uniﬁes"]
     got = {r["word"]: r["right"] for r in ocr.corrections(spark.createDataFrame([(w,) for w in bad], "word string"), counts).collect()}
-    assert got == {"moclern": "modern", "undcr": "under", "deviee": "device", "co11ect": "collect", "urider": "under", "uncler": "under"}
+    assert got == {"moclern": "modern", "undcr": "under", "deviee": "device", "co11ect": "collect", "urider": "under", "uncler": "under", "proﬁles": "profiles", "uniﬁes": "unifies"}
 
 
 def test_first_fit_decreasing_equals_a_scan():
