@@ -94,7 +94,8 @@ class CopyLedger:
         known = self._read("members", self.MEMBERS, touched)
         fresh = batch.join(known, ["bucket", "key", "id"], "left_anti") if self.held else batch
         members = known.select("bucket", "key", "id").unionByName(fresh.select("bucket", "key", "id"))
-        members.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("bucket").option(
+        # rebalanced, not repartitioned: a bucket with a hot key is split over several tasks and files
+        members.hint("rebalance", "bucket").write.partitionBy("bucket").option(
             "compression", "zstd"
         ).parquet(f"{self.folder}/members/v{v}")
         if self.held:
