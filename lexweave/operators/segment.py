@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import lexicons as L
 from lexweave.functions import text as T
+from lexweave.functions.keys import computed_once
 from lexweave.operators import signals as S
 from lexweave.session import materialize
 
@@ -27,8 +28,8 @@ def repeated_lines(pages: DataFrame, doc: str = "doc", page: str = "page_number"
     """
     pages = pages.select(doc, page, text).distinct()
     n = pages.groupBy(doc).agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= L.REPEATED_MIN_PAGES)
-    at = lines(pages, doc, page, text=text).withColumn("line_key", F.lower(T.line(F.col("line"))))
-    at = at.where((F.col("line_key") != "") & (F.length("line_key") <= L.REPEATED_MAX_CHARS) & ~S.bullet(F.col("line")))
+    at = computed_once(lines(pages, doc, page, text=text), flat=T.line(F.col("line"))).withColumn("line_key", F.lower("flat"))
+    at = at.where((F.col("flat") != "") & (F.length("flat") <= L.REPEATED_MAX_CHARS) & ~F.col("flat").rlike(L.BULLET))
     seen = at.select(doc, page, "line_key").distinct().groupBy(doc, "line_key").agg(F.count("*").alias("n_pages"))
     enough = F.greatest(F.lit(L.REPEATED_MIN_PAGES), F.floor(F.col("pages") * share).cast("int"))
     return seen.join(n, doc).where(F.col("n_pages") >= enough).select(doc, "line_key", "n_pages")
@@ -37,7 +38,7 @@ def repeated_lines(pages: DataFrame, doc: str = "doc", page: str = "page_number"
 def without_repeated(pages: DataFrame, repeated: DataFrame, doc: str = "doc", page: str = "page_number", text: str = "text") -> DataFrame:
     """(doc, page, clean_text): each page without its document's repeated lines, normalised; a page's lines are put together per page."""
     once = pages.groupBy(doc, page).agg(F.min(text).alias(text))
-    at = lines(once, doc, page, text=text).withColumn("line_key", F.lower(T.line(F.col("line"))))
+    at = computed_once(lines(once, doc, page, text=text), line_key=F.lower(T.line(F.col("line"))))
     kept = at.join(repeated.select(doc, "line_key"), [doc, "line_key"], "left_anti")
     rows = kept.groupBy(doc, page).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("r"))
     joined = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
@@ -47,9 +48,9 @@ def without_repeated(pages: DataFrame, repeated: DataFrame, doc: str = "doc", pa
 def blocks(pages: DataFrame, *keys: str, text: str = "clean_text", longest: int = 140, letters: int = 100) -> DataFrame:
     """(keys, block_no, block): a blank line ends a block, a list item or a heading starts one. Worked out page by page."""
     w = Window.partitionBy(*keys).orderBy("line_no")
-    at = lines(pages, *keys, text=text).withColumn("flat", T.display(F.col("line")))
+    at = computed_once(lines(pages, *keys, text=text), flat=T.display(F.col("line")))
     blank = F.col("flat") == ""
-    starts = S.bullet(F.col("flat")) | S.heading(F.col("flat"), longest, letters) | F.coalesce(F.lag("blank").over(w), F.lit(True))
+    starts = F.col("flat").rlike(L.BULLET) | S.flat_heading(F.col("flat"), longest, letters) | F.coalesce(F.lag("blank").over(w), F.lit(True))
     at = at.withColumn("blank", blank).withColumn("starts", F.when(~F.col("blank") & starts, 1).otherwise(0))
     at = at.where(~F.col("blank")).withColumn("n", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = at.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("line_no", "flat"))).alias("r"))
@@ -90,8 +91,9 @@ def split_long(c: Column, limit: int = L.MAX_CHARS, by_subclause: bool = False)
 def carry_heading(blocks: DataFrame, doc: str, *order: str, text: str = "block", longest: int = 140, letters: int = 100) -> DataFrame:
     """Adds is_heading and section_heading: the last heading before the block in its document, across pages."""
     w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    b = blocks.withColumn("is_heading", S.heading(F.col(text), longest, letters))
-    return b.withColumn("section_heading", F.last(F.when(F.col("is_heading"), T.line(F.col(text))), ignorenulls=True).over(w))
+    b = computed_once(blocks, _flat=T.display(F.col(text)))
+    b = computed_once(b, is_heading=S.flat_heading(F.col("_flat"), longest, letters))
+    return b.withColumn("section_heading", F.last(F.when(F.col("is_heading"), F.col("_flat")), ignorenulls=True).over(w)).drop("_flat")
 
 
 def build_clauses(pages: DataFrame, doc: str = "doc", page: str = "page_number", text: str = "text", limit: int = L.MAX_CHARS, by_subclause: bool = False) -> DataFrame:
@@ -110,8 +112,8 @@ def build_clauses(pages: DataFrame, doc: str = "doc", page: str = "page_number",
 def review_blocks(pages: DataFrame, doc: str = "doc", page: str = "page_number", text: str = "text") -> DataFrame:
     """(doc, page, block_no, review_text, reason): the side output of build_clauses()."""
     clean = without_repeated(pages, repeated_lines(pages, doc, page, text), doc, page, text)
-    b = blocks(clean, doc, page).withColumn("flat", T.display(F.col("block")))
-    reason = F.when(S.junk(F.col("flat")), "navigation").when(~S.heading(F.col("flat")) & (F.length("flat") < L.MIN_REVIEWABLE), "very short")
+    b = computed_once(blocks(clean, doc, page), flat=T.display(F.col("block")))
+    reason = F.when(S.flat_junk(F.col("flat")), "navigation").when(~S.flat_heading(F.col("flat")) & (F.length("flat") < L.MIN_REVIEWABLE), "very short")
     return b.select(doc, page, "block_no", F.left(F.col("flat"), F.lit(2000)).alias("review_text"), reason.alias("reason")).where("reason is not null")
 
 

@@ -41,12 +41,20 @@ def reasons_found(c: Column, table: list[tuple[str, str]], flags: str = "(?is)")
 
 def junk(c: Column, patterns: list[str] = L.JUNK_POLICY) -> Column:
     """Navigation or nothing at all."""
-    s = T.display(c)
+    return flat_junk(T.display(c), patterns)
+
+
+def flat_junk(s: Column, patterns: list[str] = L.JUNK_POLICY) -> Column:
+    """junk() of a display() column."""
     return (s == "") | whole(s, patterns)
 
 
 def heading(c: Column, longest: int = 140, letters: int = 100) -> Column:
-    s = T.display(c)
+    return flat_heading(T.display(c), longest, letters)
+
+
+def flat_heading(s: Column, longest: int = 140, letters: int = 100) -> Column:
+    """heading() of a display() column."""
     return (F.length(s) <= longest) & ~s.rlike(r"[.;:?!]\z") & s.rlike(r"\A" + L.HEADING % letters + r"\z")
 
 

@@ -92,6 +92,57 @@ def plain_pages(name: str, content: bytes) -> Iterator[tuple[int, str, str, str
         yield n, page.strip(), "text", None if page.strip() else "No text extracted"
 
 
+def docx_pages(name: str, content: bytes) -> Iterator[tuple[int, str, str, str | None]]:
+    """A .docx file as one page: its paragraphs, then the rows of its tables with cells divided by ' | '."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t")).strip()
+    out = [text(p) for p in body.findall(f"{w}p")]
+    for row in body.findall(f"{w}tbl/{w}tr"):
+        out.append(" | ".join(t for t in map(text, row.findall(f"{w}tc")) if t))
+    whole = "\n".join(t for t in out if t)
+    yield 1, whole, "docx", None if whole else "No text extracted"
+
+
+def pdf_pages(ocr: Callable[[bytes, int], str] | None = None, few: int = 30) -> Callable:
+    """An extractor for PDF files by whichever PDF library the workers have. Pages with fewer than `few` characters go to ocr (if
+    given), whose text is taken if it is the longer one."""
+
+    def extract(name: str, content: bytes):
+        try:
+            import fitz
+
+            texts = [p.get_text("text") for p in fitz.open(stream=content, filetype="pdf")]
+        except ImportError:
+            import io
+
+            import pypdf
+
+            texts = [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages]
+        for n, t in enumerate(texts, 1):
+            t, method = t.strip(), "pdf"
+            if len(t) < few and ocr:
+                seen = ocr(content, n).strip()
+                if len(seen) > len(t):
+                    t, method = seen, "pdf+ocr"
+            yield n, t, method, None if len(t) >= few else "Low embedded-text count; inspect page" if t else "No text extracted"
+
+    return extract
+
+
+def by_suffix(**extractors: Callable) -> Callable:
+    """One extractor out of several, chosen by the file's suffix; others are read as plain text or HTML."""
+
+    def extract(name: str, content: bytes):
+        return extractors.get(name.rsplit(".", 1)[-1].lower(), plain_pages)(name, content)
+
+    return extract
+
+
 def pages(files: DataFrame, extract: Callable = plain_pages, few: int = 30) -> DataFrame:
     """binaryFile rows (path, content) -> pages. extract(name, bytes) yields (page_number, text, method, warning); a file that
     fails gives one page without text and the error as its warning, so that one bad file doesn't end the run."""

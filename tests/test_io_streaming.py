@@ -23,6 +23,21 @@ def test_files_to_pages(spark, tmp_path):
     assert {r["warning"] for r in readers.pages(files, bad).collect()} == {"OSError: broken"}
 
 
+def test_docx(tmp_path):
+    import io
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    para = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    xml = f"<w:document {w}><w:body>{para('One')}{para('')}<w:tbl><w:tr><w:tc>{para('a')}</w:tc><w:tc>{para('b')}</w:tc></w:tr></w:tbl>{para('Two')}</w:body></w:document>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", xml)
+    extract = readers.by_suffix(docx=readers.docx_pages)
+    assert list(extract("x.DOCX", out.getvalue())) == [(1, "One\nTwo\na | b", "docx", None)]
+    assert [p[1] for p in extract("x.txt", b"a\fb")] == ["a", "b"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a b", ["x", "y"]), ("c", None)], "k string, ids array<string>")
     sinks.export_csv(df, str(tmp_path / "csv"))
