@@ -40,32 +40,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similar_pairs(df: DataFrame, id_col: str, tokens: str, num: int, den: int, block: str | None = None) -> DataFrame:
-    """(id_a, id_b, both, n_a, n_b): all pairs id_a < id_b (of one block) with Jaccard >= num/den. Exact.
+def similar(df: DataFrame, id_col: str, tokens: str, num: int, den: int, block: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """members(id, rep) and pairs(id_a, id_b, both, n_a, n_b): all pairs of different sets (of one block) with Jaccard >= num/den.
 
-    Tokens are ranked by rising frequency; two sets that reach the threshold share a token among their first
-    n - ceil(t n) + 1, so only these are joined. Equal sets are joined once, as one class; empty sets are pairwise similar to
-    one another and come from the classes too. Thresholds are compared in integers.
+    Rows with equal sets are one class, named by its smallest id, and pairs stand between classes only: copies are never
+    expanded into pairs. Exact: tokens are ranked by rising frequency; two sets that reach the threshold share a token among
+    their first n - ceil(t n) + 1, so only these are joined, and every candidate is verified in integers. Null sets have no class;
+    empty sets are one class.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(tokens).alias("t"), (F.col(block) if block else F.lit("")).alias("b"))
-    rows = materialize(rows.withColumn("c", F.xxhash64("b", "t")), "rows")
-    classes = rows.groupBy("b", "c").agg(F.min("t").alias("t"))
-    long = classes.select("b", "c", F.size("t").alias("n"), F.explode("t").alias("w"))
-    df_ = long.groupBy("b", "w").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("b", "c").orderBy("f", "w")
-    ranked = long.join(df_, ["b", "w"]).withColumn("r", F.row_number().over(w))
-    head = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("b", "c", "w", "n")
-    x, y = head.select("b", "w", F.col("c").alias("ca"), F.col("n").alias("na")), head.select("b", "w", F.col("c").alias("cb"), F.col("n").alias("nb"))
-    cand = x.join(y, ["b", "w"]).where("ca < cb").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("b", "ca", "cb").distinct()
-    sets = classes.select("b", "c", "t")
-    pairs = cand.join(sets.select("b", F.col("c").alias("ca"), F.col("t").alias("ta")), ["b", "ca"]).join(sets.select("b", F.col("c").alias("cb"), F.col("t").alias("tb")), ["b", "cb"])
-    pairs = pairs.withColumn("both", F.size(F.array_intersect("ta", "tb"))).withColumn("na", F.size("ta")).withColumn("nb", F.size("tb"))
-    pairs = pairs.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("b", "ca", "cb", "both", "na", "nb")
-    same = classes.select("b", F.col("c").alias("ca"), F.col("c").alias("cb"), F.size("t").alias("both"), F.size("t").alias("na"), F.size("t").alias("nb"))
-    i, j = rows.select("b", F.col("c").alias("ca"), F.col("id").alias("ia")), rows.select("b", F.col("c").alias("cb"), F.col("id").alias("ib"))
-    out = pairs.unionByName(same).join(i, ["b", "ca"]).join(j, ["b", "cb"]).where((F.col("ca") != F.col("cb")) | (F.col("ia") < F.col("ib")))
-    flip = F.col("ia") > F.col("ib")
-    return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "both", F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("n_a"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("n_b"))
+    rows = materialize(rows.where("id is not null and t is not null").withColumn("c", F.xxhash64("b", "t")), "rows")
+    classes = materialize(rows.groupBy("b", "c").agg(F.min("id").alias("rep"), F.min("t").alias("t")), "classes")
+    members = rows.select("id", "b", "c").distinct().join(classes.select("b", "c", "rep"), ["b", "c"]).select("id", "rep")
+    long = classes.select("b", "rep", F.size("t").alias("n"), F.explode("t").alias("w"))
+    seen = long.groupBy("b", "w").agg(F.count("*").alias("f"))
+    w = Window.partitionBy("rep", "b").orderBy("f", "w")
+    ranked = long.join(seen, ["b", "w"]).withColumn("r", F.row_number().over(w))
+    head = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("b", "w", "rep", "n")
+    x, y = head.select("b", "w", F.col("rep").alias("id_a"), F.col("n").alias("na")), head.select("b", "w", F.col("rep").alias("id_b"), F.col("n").alias("nb"))
+    sizes = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+    cand = x.join(y, ["b", "w"]).where((F.col("id_a") < F.col("id_b")) & sizes).select("b", "id_a", "id_b").distinct()
+    sets = classes.select("b", "rep", "t")
+    pairs = cand.join(sets.select("b", F.col("rep").alias("id_a"), F.col("t").alias("ta")), ["b", "id_a"]).join(sets.select("b", F.col("rep").alias("id_b"), F.col("t").alias("tb")), ["b", "id_b"])
+    pairs = pairs.select("id_a", "id_b", F.size(F.array_intersect("ta", "tb")).alias("both"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
+    return members, pairs.where(F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num)
 
 
 def leaders(ids: DataFrame, pairs: DataFrame, best: bool = True) -> DataFrame:
@@ -97,9 +95,16 @@ def leaders(ids: DataFrame, pairs: DataFrame, best: bool = True) -> DataFrame:
 def near_groups(df: DataFrame, id_col: str, text: str, num: int, den: int, prefix: str = "NEAR-", block: str | None = None, digits: int = 5) -> DataFrame:
     """(id, leader, sim, near_group): greedy near-duplicate groups by Jaccard of canonical tokens. near_group is numbered over
     all leaders in id order and '' for groups of one; sim is rounded to 6 digits."""
-    rows = df.withColumn("_tok", T.tokens(F.col(text)))
-    pairs = similar_pairs(rows, id_col, "_tok", num, den, block).select("id_a", "id_b", F.when(F.col("n_a") + F.col("n_b") == 0, F.lit(1.0)).otherwise(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("sim"))
-    led = materialize(leaders(df.select(F.col(id_col).alias("id")), pairs), "led")
+    members, pairs = similar(df.withColumn("_tok", T.tokens(F.col(text))), id_col, "_tok", num, den, block)
+    pairs = materialize(pairs.select("id_a", "id_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("sim")), "pairs")
+    # only the first row of a class can lead, so leaders are elected among the classes' first rows ...
+    lead = leaders(members.select(F.col("rep").alias("id")).distinct(), pairs).where("id = leader").select("leader")
+    both = pairs.select(F.col("id_a").alias("leader"), F.col("id_b").alias("rep"), "sim").union(pairs.select(F.col("id_b").alias("leader"), F.col("id_a").alias("rep"), "sim"))
+    near = both.join(lead, "leader").union(lead.select("leader", F.col("leader").alias("rep"), F.lit(1.0).alias("sim")))
+    # ... but a later copy may find a better leader than its class's first row did: each row takes the best that comes before it
+    best = F.min(F.struct((-F.col("sim")).alias("s"), "leader"))
+    led = members.join(near, "rep").where(F.col("leader") <= F.col("id")).groupBy("id").agg(best.alias("r"))
+    led = materialize(led.select("id", "r.leader", (-F.col("r.s")).alias("sim")), "led")
     size = led.groupBy("leader").agg(F.count("*").alias("n"))
     ids = segment.numbered(size, "leader", name="g").select("leader", F.when(F.col("n") > 1, F.concat(F.lit(prefix), F.lpad(F.col("g").cast("string"), digits, "0"))).otherwise("").alias("near_group"))
     return led.join(ids, "leader").select("id", "leader", F.round("sim", 6).alias("sim"), "near_group")
@@ -127,8 +132,8 @@ def distinct_entries(entries: DataFrame, id_col: str, ids: str, category: str, t
     of an entry kept before, in id order."""
     one = entries.select(F.explode(F.array_distinct(ids)).alias("clause_id"), F.col(id_col).alias("_e"), F.col(category).alias("_c"), T.tokens(F.col(text)).alias("_tok"))
     one = one.withColumn("_id", F.concat_ws("\u0001", "clause_id", "_c", "_e")).withColumn("_b", F.concat_ws("\u0001", "clause_id", "_c"))
-    pairs = similar_pairs(one, "_id", "_tok", num, den, "_b").select("id_a", "id_b", F.lit(1.0).alias("sim"))
-    kept = leaders(one.select(F.col("_id").alias("id")), pairs).where("id = leader").select(F.split("id", "\u0001").alias("k"))
+    members, pairs = similar(one, "_id", "_tok", num, den, "_b")
+    kept = leaders(members.select(F.col("rep").alias("id")).distinct(), pairs.select("id_a", "id_b", F.lit(1.0).alias("sim"))).where("id = leader").select(F.split("id", "\u0001").alias("k"))
     return kept.select(F.get("k", F.lit(0)).alias("clause_id"), F.get("k", F.lit(2)).alias("id"))
 
 

@@ -110,12 +110,12 @@ def _near(spark, d):
 
 def _jaccard_pairs(spark, d):
     t = table(spark, d, SC).withColumn("tok", T.tokens(F.col("clause_text")))
-    p = duplicates.similar_pairs(t, "clause_id", "tok", 1, 2)
+    _, p = duplicates.similar(t, "clause_id", "tok", 1, 2)
     return p.select("id_a", "id_b", "both", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("sim"))
 
 
 JACCARD_SQL = (
-    f"with t as (select clause_id id, list_distinct(regexp_extract_all({sql_canonical('clause_text')}, '[a-z0-9]+')) w from statutory_clauses), p as (select a.id id_a, b.id id_b, len(list_intersect(a.w, b.w)) both_n, len(a.w) na, len(b.w) nb from t a join t b on a.id < b.id)"
+    f"with t as (select min(clause_id) id, w from (select clause_id, list_sort(list_distinct(regexp_extract_all({sql_canonical('clause_text')}, '[a-z0-9]+'))) w from statutory_clauses) group by w), p as (select a.id id_a, b.id id_b, len(list_intersect(a.w, b.w)) both_n, len(a.w) na, len(b.w) nb from t a join t b on a.id < b.id)"
     " select id_a, id_b, both_n::int as both, round(both_n / (na + nb - both_n), 6) as sim from p where both_n * 2 >= (na + nb - both_n) * 1"
 )
 

@@ -67,14 +67,38 @@ def jac(a, b):
 
 
 @pytest.mark.parametrize(("num", "den"), [(4, 5), (98, 100), (1, 2)])
-def test_similar_pairs_equal_brute_force(spark, num, den):
+def test_similar_sets_equal_brute_force(spark, num, den):
     rng = random.Random(num)
     base = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(0, 9))] for _ in range(40)]
     sets = [sorted(set(s)) for s in base + base[:5] + [b[:-1] for b in base[5:20]] + [[], []]]
-    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sets)], "i int, t array<string>, extra string")
-    got = {(r["id_a"], r["id_b"]) for r in duplicates.similar_pairs(df, "i", "t", num, den).collect()}
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jac(sets[i], sets[j]) * den >= num - 1e-12 * den}
-    assert got == want
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sets)] + [(999, None, "x")], "i int, t array<string>, rep string").withColumn("c", F.lit("clash"))
+    members, pairs = duplicates.similar(df, "i", "t", num, den)
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    assert {r["id"]: r["rep"] for r in members.collect()} == {i: first[tuple(s)] for i, s in enumerate(sets)}
+    got = {(r["id_a"], r["id_b"]) for r in pairs.collect()}
+    reps = sorted(first.values())
+    assert got == {(i, j) for i in reps for j in reps if i < j and jac(sets[i], sets[j]) * den >= num - 1e-12 * den}
+
+
+def test_near_groups_equal_the_greedy_loop(spark):
+    rng = random.Random(13)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwx") for _ in range(rng.randrange(4, 10))] for _ in range(25)]
+    texts = []
+    for b in base:
+        texts += [" ".join(b), " ".join(b[:-1] + [rng.choice("abcxyz")]), " ".join(b + ["q"])][: rng.randrange(1, 4)]
+    texts = texts + texts[::3] + ["a b c d e f g"] * 40 + ["", "", None]
+    rng.shuffle(texts)
+    sets = [set((t or "").split()) for t in texts]
+    lead, want = [], {}
+    for i, s in enumerate(sets):
+        near = [(jac(s, sets[j]), -j) for j in lead if jac(s, sets[j]) >= 0.7]
+        want[i] = (-max(near)[1], round(max(near)[0], 6)) if near else (i, 1.0)
+        if not near:
+            lead.append(i)
+    got = duplicates.near_groups(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t", 70, 100)
+    assert {r["id"]: (r["leader"], r["sim"]) for r in got.collect()} == want
 
 
 def test_leaders_equal_the_greedy_loop(spark):
