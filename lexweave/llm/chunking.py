@@ -32,31 +32,44 @@ _END = re.compile(r"[.!?…][.!?…]*[\"'”’»)\]]*\s+")
 _START = re.compile(r"[\"'“‘«(\[]*(?:[A-ZÀ-Þ0-9]|[a-z][A-Z])")
 _PARAGRAPH = re.compile(r"\n[ \t\r\xa0]*\n\s*")
 _BULLET = re.compile(r"(?:^|\n)[ \t\xa0]*(?=[•●▪◦‣·*–—-][ \t\xa0])")
-_NUMBERED = re.compile(r"[:;.][ \t\xa0]*(?:and|or)?\s*\n[ \t\xa0]*(?=\d{1,3}[.)][ \t\xa0])")
+_NUMBERED = re.compile(r"[:;.!?][\"'”’»)\]]*[ \t\xa0]*(?:and|or)?\s*\n[ \t\xa0]*(?=\d{1,3}[.)][ \t\xa0])")
 _MARKER = re.compile(r"[:;][ \t\xa0]*(?:\s(?:and|or|and/or))?\s+(?=\((?:[a-z]{1,2}|[ivxl]{1,7}|\d{1,3})\)\s)")
 _LEFT = re.compile(r"[\w.&/-]+$")
 
 
+def _word_before(text: str, at: int) -> str:
+    left = _LEFT.search(text, max(0, at - 24), at)
+    return left.group() if left else ""
+
+
+def _abbreviated(word: str) -> bool:
+    """Whether a full stop after the word calls for what follows: a number of a section, a form, a register."""
+    low = word.lower()
+    return low in ABBREVIATIONS or low.rstrip(".") in ABBREVIATIONS or low in BEFORE_NUMBER or len(word) == 1 and word.isalpha()
+
+
+def _starts_item(text: str, at: int) -> bool:
+    """Whether a number at `at` numbers an item: it begins a line, and what stands before has come to an end."""
+    before = text[:at].rstrip(" \t\xa0")
+    if before and before[-1] != "\n":
+        return False
+    end = before.rstrip()
+    end = re.sub(r"\s(?:and|or)$", "", end[-24:]).rstrip() if end else end
+    return not end or end[-1] in ":;!?" or end[-1] == "." and not _abbreviated(_word_before(end, len(end) - 1)) or end[-1] in "\"'”’»)]" and end[-2:-1] in (".", "!", "?", ";")
+
+
 def _ends_sentence(text: str, dot: int, nxt: int) -> bool:
     """Whether the mark at `dot` ends a sentence whose successor starts at `nxt`."""
     if not _START.match(text, nxt):
         return False
     if text[dot] != ".":
         return True
-    left = _LEFT.search(text, max(0, dot - 24), dot)
-    word = left.group() if left else ""
-    low = word.lower()
-    if low in ABBREVIATIONS or low.rstrip(".") in ABBREVIATIONS:
-        return False
-    if low in BEFORE_NUMBER:
+    word = _word_before(text, dot)
+    if word.lower() in BEFORE_NUMBER:
         return not text[nxt].isdigit()
-    if len(word) == 1 and word.isalpha():  # an initial, or a lettered form or question
+    if _abbreviated(word):
         return False
-    if word.isdigit() and len(word) <= 3:  # the number of an item at a line's start
-        at = dot - len(word)
-        if at == 0 or text[:at].rstrip(" \t\xa0")[-1:] == "\n":
-            return False
-    return True
+    return not (word.isdigit() and len(word) <= 3 and _starts_item(text, dot - len(word)))
 
 
 def boundaries(text: str) -> dict[int, int]:
@@ -67,7 +80,8 @@ def boundaries(text: str) -> dict[int, int]:
             out[m.end()] = SENTENCE
     for pattern in (_BULLET, _NUMBERED, _MARKER):
         for m in pattern.finditer(text):
-            out[m.end()] = ITEM
+            if pattern is not _NUMBERED or _starts_item(text, m.end()):
+                out[m.end()] = ITEM
     for m in _PARAGRAPH.finditer(text):
         out[m.end()] = PARAGRAPH
     first = len(text) - len(text.lstrip())

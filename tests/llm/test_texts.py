@@ -37,6 +37,8 @@ STARTS = [
     ("Items:\n- first;\n- second.\nAfter that", ["- first", "- second", "After"]),
     ("Items:\n1. first;\n2. second.\n\nnew para", ["1. first", "2. second", "new para"]),
     ("Wrapped under paragraph\n(b) of this\nPolicy text is one", []),
+    ("Asked in Q. 10 on form B.\n3. Where it ends.\n4. Last", ["Where", "4. Last"]),
+    ("Under No.\n12. We go on as in Art.\n222. After", ["We go", "After"]),
     ("Really! Is it? Yes.", ["Is it", "Yes"]),
     ("", []), ("no end", []), ("   Lead. Two", ["Two"]),
 ]
