@@ -1,7 +1,7 @@
 """Scoring every record against every rule, ranking with caps, semantic fill, label clean-up.
 
-Rules are a small side only after their size is checked: up to BROADCAST_RULES rows they are broadcast, beyond that the
-records are matched through their words (an equi-join on terms), never by a cross join.
+Rules are a stated set held against all records. They are broadcast only after their size is checked: up to BROADCAST_RULES rows;
+beyond that an error asks for blocks of that size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from lexweave.operators.duplicates import cosine
 BROADCAST_RULES = 5_000
 
 
-def _checked(rules: DataFrame, most: int = BROADCAST_RULES) -> DataFrame:
+def checked_rules(rules: DataFrame, most: int = BROADCAST_RULES) -> DataFrame:
+    """rules with a broadcast hint, if there are at most `most`; else an error."""
     n = rules.limit(most + 1).count()
     if n > most:
         raise ValueError(f"more than {most} rules; score them in blocks of {most}")
@@ -34,7 +35,7 @@ def score_rules(records: DataFrame, rules: DataFrame, id_col: str, text: str, ke
     empty = F.array().cast("array<string>")
     r = rules.select(F.col("taxonomy_id").alias("rule_id"), "category", concepts(F.col("required_concepts")).alias("_c"), words.alias("_w"), F.coalesce(F.try_element_at(kw, F.col("category")), empty).alias("_k"))
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    x = records.select(F.col(id_col).alias("id"), t.alias("_t")).crossJoin(_checked(r))
+    x = records.select(F.col(id_col).alias("id"), t.alias("_t")).crossJoin(checked_rules(r))
     hit = lambda a: F.size(F.filter(a, lambda k: F.contains(F.col("_t"), k)))
     return x.select("id", "rule_id", "category", (3 * hit("_k") + 4 * hit("_c") + hit("_w")).alias("score")).where(F.col("score") >= least)
 
@@ -52,7 +53,7 @@ def ranked(scored: DataFrame, per_category: int = 2, most: int = 6) -> DataFrame
 def nearest(records: DataFrame, prototypes: DataFrame, id_col: str, vector: str, proto_id: str, proto_vector: str, k: int = 1, least: float | None = None) -> DataFrame:
     """(id, proto_id, sim, place): the k prototypes with the largest cosine (rounded to 6 digits; ties: smaller id)."""
     p = prototypes.select(F.col(proto_id).alias("proto_id"), F.col(proto_vector).alias("_p"))
-    x = records.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).crossJoin(_checked(p))
+    x = records.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).crossJoin(checked_rules(p))
     x = x.select("id", "proto_id", F.round(cosine(F.col("_v"), F.col("_p")), 6).alias("sim"))
     if least is not None:
         x = x.where(F.col("sim") > least)

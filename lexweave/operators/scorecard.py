@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import lexicons as L
+from lexweave.operators.routing import checked_rules
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -41,7 +42,7 @@ def rule_points(labels: DataFrame, rules: DataFrame, owner: str, rule: str = "be
     """
     got = labels.groupBy(F.col(owner).alias("owner"), F.col(rule).alias("rule")).agg(F.max(verdict_score(F.col("verdict"))).alias("points"))
     owners = labels.where(F.col(owner).isNotNull()).select(F.col(owner).alias("owner")).distinct()
-    grid = owners.crossJoin(F.broadcast(rules.select(F.col("taxonomy_id").alias("rule"), F.col(group).alias("grp")).distinct()))
+    grid = owners.crossJoin(checked_rules(rules.select(F.col("taxonomy_id").alias("rule"), F.col(group).alias("grp")).distinct()))
     return grid.join(got, ["owner", "rule"], "left").withColumn("points", F.coalesce("points", F.lit(0.0)))
 
 

@@ -156,7 +156,7 @@ def test_routing(spark):
     extra = spark.createDataFrame([("c1", "a", 1), ("c1", "b", 2), ("c2", "z", 1)], "id string, rule_id string, place int")
     assert rows(routing.fill(chosen, extra), "id", "place") == [("c1", "a", 1, "keyword"), ("c1", "b", 2, "semantic"), ("c2", "z", 1, "semantic")]
     with pytest.raises(ValueError):
-        routing._checked(spark.range(10), 5)
+        routing.checked_rules(spark.range(10), 5)
 
 
 def test_labels(spark):
