@@ -42,7 +42,7 @@ def display(c: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """display() without soft hyphens, lower case. For texts whose letters have compatibility forms see canonical_nfkc()."""
-    return F.lower(display(F.translate(c, "­", "")))
+    return F.lower(display(F.replace(c, F.lit("­"), F.lit(""))))
 
 
 @F.pandas_udf(StringType())
