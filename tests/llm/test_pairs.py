@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,19 @@ def test_overlap_equals_brute_force(spark, records):
     assert sum(r["n_overlapping"] for r in rep.collect()) == len(n)
 
 
+@pytest.mark.parametrize(("n_a", "n_b", "both", "most"), [(5, 4, 4, 0), (5, 6, 5, 0), (7, 6, 6, 0), (12, 10, 10, 0), (14, 13, 12, 0), (15, 12, 12, 0.004), (30, 24, 24, 0.004), (31, 32, 28, 0.004), (36, 36, 32, 0.004), (45, 36, 36, 0.004), (80, 64, 64, 0.004), (120, 96, 96, 0.004)])
+def test_pairs_at_the_threshold_share_a_key(n_a, n_b, both, most):
+    rng, draws = np.random.default_rng(n_a), 2000
+    words = [rng.integers(0, 2**32, n_a + n_b - both, dtype=np.uint32) for _ in range(draws)]
+    sets = [np.sort(s) for w in words for s in (w[:n_a], np.r_[w[:both], w[n_a:]])]
+    off = np.cumsum([0, *map(len, sets)])
+    at, key, _, _ = overlap.chunk_keys()(np.concatenate(sets), off, False)
+    of = [set() for _ in sets]
+    for i, k in zip(at.tolist(), key.tolist()):
+        of[i].add(k)
+    assert sum(not of[2 * i] & of[2 * i + 1] for i in range(draws)) <= most * draws
+
+
 def test_groups_equal_brute_force(spark, records):
     pairs, ids = similar(records)
     parent = {i: i for i in ids}
