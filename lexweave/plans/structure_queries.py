@@ -114,6 +114,17 @@ def _jaccard_pairs(spark, d):
     return p.select("id_a", "id_b", "both", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("sim"))
 
 
+def _jaccard_members(spark, d):
+    """The class of equal token sets of each row; with dup_near_pairs, which pairs classes, every row's links follow."""
+    t = table(spark, d, SC).withColumn("tok", T.tokens(F.col("clause_text")))
+    m, _ = duplicates.similar(t, "clause_id", "tok", 1, 2)
+    return m.select(F.col("id").alias("clause_id"), "rep")
+
+
+MEMBERS_SQL = (
+    f"with t as (select distinct clause_id, list_sort(list_distinct(regexp_extract_all({sql_canonical('clause_text')}, '[a-z0-9]+'))) w from statutory_clauses where clause_id is not null)"
+    " select clause_id, min(clause_id) over (partition by w) as rep from t"
+)
 JACCARD_SQL = (
     f"with t as (select min(clause_id) id, w from (select clause_id, list_sort(list_distinct(regexp_extract_all({sql_canonical('clause_text')}, '[a-z0-9]+'))) w from statutory_clauses) group by w), p as (select a.id id_a, b.id id_b, len(list_intersect(a.w, b.w)) both_n, len(a.w) na, len(b.w) nb from t a join t b on a.id < b.id)"
     " select id_a, id_b, both_n::int as both, round(both_n / (na + nb - both_n), 6) as sim from p where both_n * 2 >= (na + nb - both_n) * 1"
@@ -132,6 +143,7 @@ DUPLICATES = [
     ),
     Query("dup_drop", lambda s, d: duplicates.first_per_key(_one(s, d), T.content_hash(F.col("clause_text")), "clause_id").select("clause_id"), f"select min(clause_id) as clause_id from {ONE} group by {HASH}"),
     Query("dup_near_pairs", _jaccard_pairs, JACCARD_SQL),
+    Query("dup_near_members", _jaccard_members, MEMBERS_SQL),
     Query("dup_near_group", _near),
     Query("dup_req_near", lambda s, d: duplicates.near_groups(table(s, d, "rules"), "taxonomy_id", "requirement", 85, 100, "REQ-NEAR-", "category").withColumnRenamed("id", "taxonomy_id")),
     Query(

@@ -192,3 +192,15 @@ def test_metrics(spark):
     assert (rep["Compliant"]["precision"], rep["Compliant"]["recall"], rep["Partially Compliant"]["f1"]) == (0.5, 0.5, 0.0)
     assert decisions.grid_search(df, "y", "a", "b", [(0.6, 0.5), (0.9, 0.95)], 0.7).collect()[0]["t_yes"] == 0.9
     assert decisions.grid_search(df.where("y = 'Not Addressed'"), "y", "a", "b", [(0.6, 0.5)], 0.7).count() == 0
+
+
+def test_members_give_the_links_of_copies(spark, tmp_path):
+    from lexweave.plans.all_queries import QUERIES
+
+    run = {q.name: q.run for q in QUERIES}
+    spark.createDataFrame([("a", "one two three"), ("b", "three one two two"), ("c", "one two four"), ("d", "other")], "clause_id string, clause_text string").write.parquet(f"{tmp_path}/statutory_clauses.parquet")
+    members = dict(rows(run["dup_near_members"](spark, str(tmp_path)), "clause_id"))
+    assert members == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    pairs = {(r["id_a"], r["id_b"]) for r in run["dup_near_pairs"](spark, str(tmp_path)).collect()}
+    links = {(x, y) for x in members for y in members if x < y and (members[x] == members[y] or tuple(sorted((members[x], members[y]))) in pairs)}
+    assert links == {("a", "b"), ("a", "c"), ("b", "c")}
