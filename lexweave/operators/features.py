@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import lexicons as L
 from lexweave.functions import text as T
+from lexweave.session import materialize
 
 
 def _t(c: Column) -> Column:
@@ -75,13 +76,38 @@ def robust_scale(df: DataFrame, columns: list[str], fit_on: Column) -> DataFrame
     return x
 
 
-def tfidf(df: DataFrame, id_col: str, text: str, min_df: int = 1) -> DataFrame:
-    """(id, term, weight): sublinear term frequency, smoothed idf, L2 norm per record, over the words of the canonical text."""
-    one = df.select(F.col(id_col).alias("id"), F.explode(F.filter(F.split(T.canonical(F.col(text)), "[^a-z0-9]+"), lambda w: F.length(w) > 1)).alias("term"))
+def tfidf(df: DataFrame, id_col: str, text: str, min_df: int = 1, ngrams: tuple[int, int] = (1, 1), sublinear: bool = True, pattern: str | None = None, stop_words: list[str] | None = None, max_features: int | None = None) -> DataFrame:
+    """(id, term, weight): smoothed idf, term frequency (1 + ln tf if sublinear), L2 norm per record.
+
+    Terms are runs of ngrams[0] to ngrams[1] neighbouring words that aren't stop words. Words are those of the canonical text, or
+    the matches of pattern in the lower-cased text. max_features keeps the terms that are most frequent in the whole table (ties: by
+    term) before norms are taken.
+    """
+    if pattern is None:
+        tokens = F.filter(F.split(T.canonical(F.col(text)), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
+    else:
+        tokens = F.regexp_extract_all(F.lower(_t(F.col(text))), F.lit(pattern), F.lit(0))
+    if stop_words:
+        tokens = F.filter(tokens, lambda w: ~w.isin(*stop_words))
+    x = df.select(F.col(id_col).alias("id"), F.explode(F.array(tokens)).alias("_w"))
+    lo, hi = ngrams
+
+    def runs_of(n):
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = [runs_of(n) for n in range(lo, hi + 1)]
+    one = x.select("id", F.explode(F.concat(*runs) if hi > 1 else F.col("_w")).alias("term"))
+    if max_features is not None:
+        if min_df > 1:
+            often = one.distinct().groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") >= min_df).select("term")
+            one = one.join(often, "term", "left_semi")
+        top = one.groupBy("term").agg(F.count("*").alias("_all")).orderBy(F.col("_all").desc(), "term").limit(max_features)
+        one = one.join(F.broadcast(materialize(top.select("term"), "terms")), "term")  # at most max_features rows
     tf = one.groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count_distinct(id_col).alias("n_docs"))
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n))  # one row
     idf = idf.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    w = tf.join(idf, "term").withColumn("w", ((1 + F.log("tf")) if sublinear else F.col("tf")) * F.col("idf"))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -138,6 +138,19 @@ SAMPLING = [
 ]
 
 
+def _ngram_sql(source: str, pattern: str, tf: str, stop: list[str] = (), top: int | None = None) -> str:
+    """TF-IDF over words and pairs of words; source is a query of (id, s)."""
+    keep = f"list_filter(regexp_extract_all(lower(coalesce(s, '')), {lit(pattern)}), lambda x: x not in ({', '.join(map(lit, stop))}))" if stop else f"regexp_extract_all(lower(coalesce(s, '')), {lit(pattern)})"
+    cut = f" where term in (select term from o group by term order by count(*) desc, term limit {top})" if top else ""
+    return (
+        f"with c as ({source}), k as (select id, {keep} w from c), o as (select id, unnest(w) term from k union all select id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) term from k), t as (select id, term, count(*) tf from o{cut} group by 1, 2),"
+        f" i as (select term, ln((1 + (select count(distinct id) from c)) / (1 + count(*))) + 1 idf from t group by 1), w as (select id, term, {tf} * idf w from t join i using (term)) select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from w"
+    )
+
+
+WORD2 = r"[\p{L}\p{N}_]{2,}"
+
+
 def _count(c: str, terms: list[str]) -> str:
     return "(" + " + ".join(f"len(string_split({c}, {lit(t)})) - 1" for t in terms) + ")"
 
@@ -234,11 +247,18 @@ SCAN_SQL = (
 )
 TFIDF = f"(with t as (select taxonomy_id id, term, count(*) tf from (select taxonomy_id, unnest(regexp_extract_all({sql_canonical('requirement')}, '[a-z0-9]+')) term from rules) where length(term) > 1 group by 1, 2), i as (select term, ln((1 + (select count(distinct taxonomy_id) from rules)) / (1 + count(*))) + 1 idf from t group by 1), w as (select id, term, (1 + ln(tf)) * idf w from t join i using (term)) select id, term, w / sqrt(sum(w * w) over (partition by id)) weight from w)"
 
+RULE_TEXTS = "select taxonomy_id id, coalesce(requirement, '') || ' ' || coalesce(checkable_test, '') s from rules"
+
 MODELS = [
     Query("ml_logreg", _predicted),
     Query("met_checkpoint_scan", _scans, SCAN_SQL),
     Query("met_accept", lambda s, d: _scans(s, d).where("place > 1").crossJoin(F.broadcast(_scans(s, d).where("place = 1").select(F.col("macro_f1").alias("best")))).select("model", decisions.accepted(F.col("macro_f1"), F.col("best"), F.lit(0.0)).alias("verdict")), f"with s as ({SCAN_SQL}) select model, case when (select macro_f1 from s where place = 1) - macro_f1 >= 0.01 then 'ACCEPT' else 'REJECT' end as verdict from s where place > 1"),
     Query("sim_engine", lambda s, d: duplicates.tfidf_pairs(features.tfidf(table(s, d, "rules"), "taxonomy_id", "requirement"), 0.2).withColumn("sim", F.round("sim", 5)), f"with t as materialized {TFIDF} select id_a, id_b, round(sim, 5) as sim from (select a.id id_a, b.id id_b, sum(a.weight * b.weight) sim from t a join t b on a.term = b.term and a.id < b.id group by 1, 2) where sim >= 0.2"),
+    Query(
+        "sim_engine_texts",
+        lambda s, d: duplicates.tfidf_pairs(features.tfidf(table(s, d, "rules").withColumn("s", F.concat(F.coalesce("requirement", F.lit("")), F.lit(" "), F.coalesce("checkable_test", F.lit("")))), "taxonomy_id", "s", ngrams=(1, 2), sublinear=False, pattern=WORD2), 0.2).withColumn("sim", F.round("sim", 5)),
+        f"with t as materialized ({_ngram_sql(RULE_TEXTS, WORD2, 'tf')}) select id_a, id_b, round(sim, 5) as sim from (select a.id id_a, b.id id_b, sum(a.weight * b.weight) sim from t a join t b on a.term = b.term and a.id < b.id group by 1, 2) where sim >= 0.2",
+    ),
     Query("dup_multi_map", lambda s, d: duplicates.distinct_entries(table(s, d, "rules"), "taxonomy_id", "source_clause_ids", "category", "requirement")),
     Query("dup_near_policy", lambda s, d: duplicates.near_groups(_one(s, d).where("clause_text <> ''"), "clause_id", "clause_text", 98, 100).withColumnRenamed("id", "clause_id")),
 ]

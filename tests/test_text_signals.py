@@ -85,3 +85,11 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.read_json(spark, str(tmp_path / "b.json"), "clause_id string, n int").collect()] == [("1", 2)]
     (tmp_path / "c.csv").write_text('clause_id,clause_text\n1,"a ""b""\nc"\n2,\n')
     assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "c.csv")).collect())) == [("1", 'a "b"\nc'), ("2", "")]
+
+
+def test_rules_alike_only_in_their_tests(spark, tmp_path):
+    from lexweave.plans.report_queries import QUERIES
+
+    run = {q.name: q.run for q in QUERIES}["sim_engine_texts"]
+    spark.createDataFrame([("A", "erase records", "ask for a copy"), ("B", "publish contacts", "ask for a copy")], "taxonomy_id string, requirement string, checkable_test string").write.parquet(f"{tmp_path}/rules.parquet")
+    assert [(r["id_a"], r["id_b"]) for r in run(spark, str(tmp_path)).collect()] == [("A", "B")]
