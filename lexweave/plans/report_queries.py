@@ -148,6 +148,7 @@ def _ngram_sql(source: str, pattern: str, tf: str, stop: list[str] = (), top: in
     )
 
 
+TOKEN = r"\b[a-z_][a-z0-9_-]+\b"
 WORD2 = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -216,6 +217,11 @@ FEATURES = [
         f"with t as (select clause_id id, term, count(*) tf from (select clause_id, unnest(regexp_extract_all({sql_canonical('clause_text')}, '[a-z0-9]+')) term from statutory_clauses) where length(term) > 1 group by 1, 2), i as (select term, ln((1 + (select count(distinct clause_id) from statutory_clauses)) / (1 + count(*))) + 1 idf from t group by 1), w as (select id, term, (1 + ln(tf)) * idf w from t join i using (term))"
         " select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w",
     ),
+    Query(
+        "fe_tfidf_policy",
+        lambda s, d: features.tfidf(_one(s, d), "clause_id", "clause_text", ngrams=(1, 2), pattern=TOKEN, stop_words=L.STOP_WORDS, max_features=5000).select("id", "term", F.round("weight", 6).alias("weight")),
+        f"select id, term, round(weight, 6) as weight from ({_ngram_sql(f'select clause_id id, clause_text s from {ONE}', TOKEN, '(1 + ln(tf))', L.STOP_WORDS, 5000)})",
+    ),
     Query("ml_class_weight", lambda s, d: decisions.class_weights(_sampled(s, d), "verdict").select("verdict", "n", F.round("weight", 6).alias("weight")), f"select verdict, count(*) as n, round(sum(count(*)) over () / (count(*) over () * count(*)), 6) as weight from {LAST} where verdict is not null group by verdict"),
     Query("dec_threshold", lambda s, d: _probabilities(s, d).select("clause_id", decisions.decide(F.col("p_yes"), F.col("p_part"), F.lit(0.6), F.lit(0.5)).alias("guess")), f"select clause_id, {GUESS} as guess from {PROB}"),
     Query("dec_threshold_dom", lambda s, d: _probabilities(s, d).select("clause_id", decisions.decide(F.col("p_yes"), F.col("p_part"), F.lit(0.6), F.lit(0.5), 0.85).alias("guess")), f"select clause_id, case when p_yes >= 0.6 and p_yes >= 0.85 * p_part then 'Compliant' when p_part >= 0.5 then 'Partially Compliant' else 'Not Addressed' end as guess from {PROB}"),

@@ -87,6 +87,14 @@ def test_readers(spark, tmp_path):
     assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "c.csv")).collect())) == [("1", 'a "b"\nc'), ("2", "")]
 
 
+def test_tfidf_of_ngrams(spark):
+    df = spark.createDataFrame([("a", "The user may delete data; delete x"), ("b", "data delete"), ("c", None)], "i string, v string")
+    got = {(r["id"], r["term"]) for r in features.tfidf(df, "i", "v", ngrams=(1, 2), pattern=r"\b[a-z_][a-z0-9_-]+\b", stop_words=L.STOP_WORDS).collect()}
+    assert got == {("a", t) for t in ("user", "delete", "data", "user delete", "delete data", "data delete")} | {("b", t) for t in ("data", "delete", "data delete")}
+    few = {(r["id"], r["term"]) for r in features.tfidf(df, "i", "v", ngrams=(1, 2), max_features=2).collect()}
+    assert few == {(i, t) for i in "ab" for t in ("data", "delete")}
+
+
 def test_rules_alike_only_in_their_tests(spark, tmp_path):
     from lexweave.plans.report_queries import QUERIES
 
