@@ -7,12 +7,16 @@ a band are estimated from one mantissa bit of each of 128 registers, corrected f
 in half the cases: J = 2 m - 1), and those near the threshold are verified on their sets. Links are closed into groups by
 union-find.
 
-With 7 rows and 28 bands a pair of similarity s meets in a band with probability 1 - (1 - s^7)^28: 0.9986 at exactly 0.8,
-0.99998 at 0.85 and more beyond.
+Rows and bands follow from the threshold: with r rows and b bands a pair of similarity s meets in a band with probability
+1 - (1 - s^r)^b, and b is the least number for which that is 0.9986 at the threshold itself; r is chosen so that about a fifth of
+the bands agree there. At 0.8 these are 7 rows and 28 bands, which give 0.99998 at 0.85 and more beyond. More rows meet fewer
+pairs below the threshold, for more bands: `rows` is a parameter.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +24,20 @@ from pyspark.sql import functions as F
 from lexweave.llm import setjoin
 from lexweave.llm.forest import components
 
-ROWS, BANDS = 7, 28
+MET_AT_ONCE, LOST = 0.21, 0.0014
+
+
+def shape(num: int, den: int, rows: int | None = None) -> tuple[int, int]:
+    """(rows, bands) for the threshold num/den; 1 asks for equal sets, which are one node anyway."""
+    if not 0 < num < den:
+        raise ValueError("the threshold must lie between 0 and 1")
+    rows = rows or max(1, round(math.log(MET_AT_ONCE) / math.log(num / den)))
+    return rows, math.ceil(round(math.log(LOST) / math.log1p(-((num / den) ** rows)), 1))
 
 
-def band_keys(rows: int = ROWS, bands: int = BANDS):
+def band_keys(rows: int, bands: int):
     def keys(flat, off, with_payload):
-        regs = setjoin.registers(flat, off, rows * bands)
+        regs = setjoin.registers(flat, off, max(rows * bands, setjoin.PAYLOAD if with_payload else 0))
         n = len(off) - 1
         out = np.empty((n, bands), np.uint64)
         for band in range(bands):
@@ -40,18 +52,20 @@ def band_keys(rows: int = ROWS, bands: int = BANDS):
     return keys
 
 
-def links(sets: DataFrame, num: int = 4, den: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def links(sets: DataFrame, num: int = 4, den: int = 5, rows: int | None = None) -> DataFrame:
     """(a, b, ...): all found pairs of different word sets with similarity of at least num/den."""
-    return setjoin.verified(sets, setjoin.candidates(sets, band_keys(rows, bands)), num, den)
+    found = setjoin.candidates(sets, band_keys(*shape(num, den, rows)), setjoin.mismatches(num, den))
+    return setjoin.verified(sets, found, num, den)
 
 
-def groups(df: DataFrame, id_col: str, text: str, num: int = 4, den: int = 5) -> DataFrame:
+def groups(df: DataFrame, id_col: str, text: str, num: int = 4, den: int = 5, rows: int | None = None) -> DataFrame:
     """(id, group_id): every id whose text has words; group_id is the smallest id of its group. Repeated ids count once."""
     sets = setjoin.nodes_of(df, id_col, text)
-    found = links(sets, num, den)
+    found = links(sets, num, den, rows)
     roots = components(found.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
     roots = roots.select(F.col("node").cast("bigint").alias("node"), F.col("root").cast("bigint").alias("root"))
     member = sets.select("id", "node").distinct().join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n"))
-    # groups of one need no join, and an id with two different texts belongs to both of their groups
-    return member.join(least, "root").select("id", "group_id", F.col("n").alias("group_size"))
+    # one row for each group of two or more, written out: a group that holds a third of the rows then meets a plain exchange,
+    # which adaptive execution splits. An id with two different texts belongs to both of their groups
+    least = setjoin.materialize(member.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1"), "groups")
+    return member.join(least, "root", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n", F.lit(1)).alias("group_size"))

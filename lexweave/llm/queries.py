@@ -25,7 +25,11 @@ def p1_found(spark, d):
 
 
 def p1_overlaps(spark, d):
-    return _across(spark, d).records().withColumnRenamed("id", "clause_id")
+    return _across(spark, d).records().select(F.col("id").alias("clause_id"), "split", "n_links", F.round("overlap", 6).alias("overlap"))
+
+
+def p1_chunk_overlaps(spark, d):
+    return _across(spark, d).records().select(F.col("id").alias("clause_id"), "split", F.round("chunk_overlap", 6).alias("chunk_overlap"))
 
 
 def p1_report(spark, d):
@@ -135,6 +139,7 @@ def p10_profile(spark, d):
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
+    "p1_chunk_overlaps": p1_chunk_overlaps,
     "p1_report": p1_report,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
