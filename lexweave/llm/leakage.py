@@ -1,13 +1,16 @@
 """Problem 9: passages of evaluation texts in a training corpus.
 
-Pigeonhole edit matching on words: an item of m pieces (of `piece` words each) that stands in a document with at most m - h
-edits leaves at least h pieces intact. All pieces of a block of items form one Aho-Corasick automaton; each document is read
-once against it. From a piece's hit the common run of words is followed to both sides, which gives the longest passage in
-common; where h pieces hit, Myers' bit-parallel distance (on words) of the whole item to the document around the hits says
-with how many edits the item stands there. Any run of 2 * piece - 1 words holds a whole piece, so no run of `min_run` is lost.
+Pigeonhole edit matching on words: every passage of `passage` consecutive words of an item (12) may stand in a document with at most
+`budget` edits (1: a word put in, left out or exchanged). It is split into budget + 1 pieces, one of which must then stand there
+unchanged. The pieces of all passages of a block of items (all runs of six words) form one Aho-Corasick automaton, against which each
+document is read once. Hits in a row on one diagonal are one common run, and all passages that hold one of the hits
+are verified with Myers' bit-parallel distance (on words; a run of a passage's length is settled by its first passage). A pair is reported if one of them keeps within the budget;
+with 0 edits the item and the document have 12 consecutive words in common.
 
 Items are the stated query set: they come to the driver in blocks of bounded size, and every block is held against all
-documents. Cases: null and empty texts match nothing, items shorter than a piece have no piece; repeated rows give one result.
+documents, at one scan of them and about 300 MB of broadcast automaton input and executor memory for each block of 2 million words.
+Cases: null and empty texts match nothing, items below `passage` words have no passage; rows with a null id are left out; repeated
+rows give one result; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexweave.functions.keys import reject_missing
 
-PIECE, MIN_RUN, MIN_HITS = 6, 12, 2
-BLOCK_WORDS = 2_000_000  # words of items held at once, about 100 MB as an automaton
-
-SCHEMA = "item_id bigint, doc_id bigint, run_words int, n_pieces int, edits int"
+PASSAGE, BUDGET = 12, 1
+BLOCK_WORDS = 2_000_000  # words of items held at once
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -85,42 +88,40 @@ def matches(
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     text: str = "text",
-    piece: int = PIECE,
-    min_run: int = MIN_RUN,
-    min_hits: int = MIN_HITS,
+    passage: int = PASSAGE,
+    budget: int = BUDGET,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """(item_id, doc_id, run_words, n_pieces, edits): pairs with a common run of min_run words, or within the item's budget.
-
-    edits is null where fewer than min_hits pieces hit or the distance is above the budget (pieces - min_hits).
-    """
+    """(item_id, doc_id, run_words, edits): pairs with a passage of the item in the document, the longest run of words in common
+    and the least edits of a passage (0 exactly where run_words reaches the passage's length)."""
     reject_missing(docs, doc_id, text)
     reject_missing(items, item_id, text)
-    if min_run < 2 * piece - 1:
-        raise ValueError("a run of min_run words must hold a whole piece")
+    if not 0 <= budget < passage:
+        raise ValueError("a passage must have more words than edits")
     sc = docs.sparkSession.sparkContext
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
+    kind = T.StructType([T.StructField("item_id", items.schema[item_id].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType)]).add("run_words", T.IntegerType()).add("edits", T.IntegerType())
     out = None
     for block in _blocks(items, item_id, text, block_words):
-        sent = sc.broadcast(block)
-        part = source.mapInArrow(_scanner(sent, piece, min_run, min_hits), SCHEMA)
+        part = source.mapInArrow(_scanner(sc.broadcast(block), to_arrow_type(kind["item_id"].dataType), passage, budget), kind)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    return out.groupBy("item_id", "doc_id").agg(
-        F.max("run_words").alias("run_words"), F.max("n_pieces").alias("n_pieces"), F.min("edits").alias("edits")
-    )
+        return docs.sparkSession.createDataFrame([], kind)
+    return out.groupBy("item_id", "doc_id").agg(F.max("run_words").alias("run_words"), F.min("edits").alias("edits"))
 
 
-def _scanner(sent, piece: int, min_run: int, min_hits: int):
+def _scanner(sent, id_type, passage: int, budget: int):
+    piece = passage // (budget + 1)
+
     def run(batches):
         import ahocorasick
 
         block = sent.value
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, w) in enumerate(block):
-            for i in range(0, len(w) - piece + 1, piece):
-                where.setdefault(" " + " ".join(w[i : i + piece]) + " ", []).append((n, i))
+            if len(w) >= passage:
+                for i in range(len(w) - piece + 1):
+                    where.setdefault(" " + " ".join(w[i : i + piece]) + " ", []).append((n, i))
         machine = ahocorasick.Automaton()
         for k, v in where.items():
             machine.add_word(k, (len(k), v))
@@ -133,43 +134,39 @@ def _scanner(sent, piece: int, min_run: int, min_hits: int):
                     continue
                 hits = list(machine.iter(" " + " ".join(w) + " "))
                 if hits:
-                    rows += [(block[n][0], d, *x) for n, x in _judge(w, hits, block, piece, min_run, min_hits)]
-            cols = list(zip(*rows)) or [()] * 5
+                    rows += [(block[n][0], d, *x) for n, x in _judge(w, hits, block, piece, passage, budget)]
+            cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
-                ["item_id", "doc_id", "run_words", "n_pieces", "edits"],
+                [pa.array(c, k) for c, k in zip(cols, (id_type, batch.column(0).type, pa.int32(), pa.int32()))],
+                ["item_id", "doc_id", "run_words", "edits"],
             )
 
     return run
 
 
-def _judge(w, hits, block, piece, min_run, min_hits):
+def _judge(w, hits, block, piece, passage, budget):
+    """(item, (longest run, least edits)) of the items that keep within the budget in the document w."""
     starts = list(accumulate((len(x) + 1 for x in w), initial=0))
-    found: dict[int, list] = {}
+    found: dict[int, dict[int, list[int]]] = {}
     for end, (length, places) in hits:
         j = bisect.bisect_left(starts, end + 1 - length)  # index of the hit's first word
         for n, i in places:
-            found.setdefault(n, []).append((j, i))
-    for n, at in found.items():
-        item = block[n][1]
-        best, reach = 0, {}
-        for j, i in at:
-            if reach.get(j - i, -1) >= j:  # inside a run that was followed before
-                continue
-            a = 0
-            while i - a > 0 and j - a > 0 and item[i - a - 1] == w[j - a - 1]:
-                a += 1
-            b = piece
-            while i + b < len(item) and j + b < len(w) and item[i + b] == w[j + b]:
-                b += 1
-            reach[j - i] = j + b
-            best = max(best, a + b)
-        pieces = len({i for _, i in at})
-        edits, budget = None, len(item) // piece - min_hits
-        if pieces >= min_hits and budget >= 0:
-            lo = max(0, min(j - i for j, i in at) - budget)
-            hi = max(j - i for j, i in at) + len(item) + budget
-            edits = myers(item, w[lo:hi])
-            edits = edits if edits <= budget else None
-        if best >= min_run or edits is not None:
-            yield n, (best, pieces, edits)
+            found.setdefault(n, {}).setdefault(j - i, []).append(i)
+    for n, diagonals in found.items():
+        item, best, longest = block[n][1], budget + 1, 0
+        for shift, at in diagonals.items():
+            first = last = at[0]
+            for i in [*at[1:], None]:  # rising, for the document was read in order
+                if i is not None and i == last + 1:
+                    last = i
+                    continue
+                length = last + piece - first
+                longest = max(longest, length)
+                # every passage that holds one of these pieces whole; of a run that is long enough, its beginning settles it
+                reach = (first,) if length >= passage else range(max(0, first + piece - passage), min(last, len(item) - passage) + 1)
+                for s in reach:
+                    if best:
+                        best = min(best, myers(item[s : s + passage], w[max(0, s + shift - budget) : s + shift + passage + budget]))
+                first = last = i
+        if best <= budget:
+            yield n, (longest, best)

@@ -119,7 +119,11 @@ def p9_leaks(spark, d):
 
 
 def p9_found(spark, d):
-    return p9_leaks(spark, d).where(F.col("run_words") >= leakage.MIN_RUN).select("item_id", "doc_id")
+    return p9_leaks(spark, d).where("edits = 0").select("item_id", "doc_id")
+
+
+def p9_runs(spark, d):
+    return p9_leaks(spark, d).where("edits = 0").select("item_id", "doc_id", "run_words")
 
 
 def _levels(spark, d):
@@ -157,6 +161,7 @@ QUERIES = {
     "p8_usage": p8_usage,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p9_runs": p9_runs,
     "p10_found": p10_found,
     "p10_profile": p10_profile,
 }

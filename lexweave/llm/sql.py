@@ -43,4 +43,6 @@ SQL = {
     " r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b) select min(b) as group_clause_id, a as clause_id from r group by a having min(b) < a",
     "p9_found": f"with g as (select distinct item_id, array_to_string(w[i:i + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) i from (select item_id, {WORDS('text')} w from eval_items))), d as (select distinct doc_id, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from (select doc_id, {WORDS('text')} w from documents)))"
     " select distinct item_id, doc_id from g join d using (g)",
+    "p9_runs": f"with g as (select item_id, i, array_to_string(w[i:i + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) i from (select item_id, {WORDS('text')} w from eval_items))), d as (select distinct doc_id, i j, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from (select doc_id, {WORDS('text')} w from documents))),"
+    " m as (select item_id, doc_id, j - i k, i - row_number() over (partition by item_id, doc_id, j - i order by i) r from g join d using (g)), n as (select item_id, doc_id, count(*) + 11 c from m group by item_id, doc_id, k, r) select item_id, doc_id, max(c)::int as run_words from n group by item_id, doc_id",
 }

@@ -206,11 +206,22 @@ def test_leaks_equal_brute_force(spark):
 
 
 def test_edits_within_the_budget_are_found(spark):
-    w = [f"q{i}" for i in range(60)]
-    near = w[:20] + ["new"] + w[20:33] + w[34:50] + ["z"] + w[51:]
-    df = spark.createDataFrame([(1, " ".join(["pad"] * 30 + near + ["pad"] * 9))], "doc_id long, text string")
-    r = leakage.matches(df, spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")).first()
-    assert (r["edits"], r["run_words"]) == (3, 20)
+    """Passages with one edit: put in, left out, exchanged, at any place; string ids; against the plain distance."""
+    rng = random.Random(3)
+    items = {f"i{k}": [f"q{k}x{i}" for i in range(rng.choice([12, 13, 30]))] for k in range(12)}
+    docs = {}
+    for d in range(150):
+        w = list(rng.choice(list(items.values())))
+        a = rng.randrange(max(1, len(w) - 11))
+        w = w[a : a + rng.choice([11, 12, 13])]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new"], [w[at], "new"]])
+        docs[f"d{d}"] = ["pad"] * rng.randrange(9) + w + ["pad"] * rng.randrange(9)
+    least = {(i, d): min(edit_distance_anywhere(x[s : s + 12], y) for s in range(len(x) - 11)) for i, x in items.items() for d, y in docs.items()}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id string, text string")
+    got = leakage.matches(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id string, text string"))
+    assert {(r["item_id"], r["doc_id"]): r["edits"] for r in got.collect()} == {k: e for k, e in least.items() if e <= 1}
 
 
 EASY = ["The cat sat on the mat.", "We like to play ball.", "He can see a big dog.", "You and I eat jam."]
