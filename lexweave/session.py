@@ -8,9 +8,11 @@ were running on it: no later stage depends on blocks that lived in one executor'
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if named.startswith("file:") and jsc.master().startswith("spark://"):
+            # a mounted share looks just like this, so it's only worth a word
+            warnings.warn("spark.checkpoint.dir is a file: folder; every executor must see the same one", stacklevel=2)
         return named.rstrip("/")
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
@@ -55,12 +60,37 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Intermediate tables made inside are deleted at the end of the block: read or write the result within it. Without such a
+    block they stay until the process ends, for a DataFrame that is still to be run may need them."""
+    mine: list[tuple[SparkSession, str]] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for spark, path in mine:
+            _delete(spark, path)
+
+
+def delete_later(spark: SparkSession, path: str) -> None:
+    """Deletes the folder at the end of the innermost scratch() block, or when the process ends."""
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    else:
+        atexit.register(_delete, spark, path)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexweave-{name}-{uuid.uuid4().hex}"
+    delete_later(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
