@@ -3,8 +3,8 @@
 A record's canonical key is its lower-cased run of a-z0-9; a text that consists only of three or more cells
 ``Label: value`` is keyed by the bag of its cells. The ledger holds, in hash buckets, one row for each key
 (number of distinct ids, smallest id) and one row for each (key, id) already counted. A new batch is aggregated
-first, and only the buckets it touches are read, full-outer-joined and written anew; all other buckets' files
-are taken over by the next version's manifest.
+first, and only the buckets it touches are read and full-outer-joined; all other buckets' files are taken over by the next
+version's manifest. A ledger outlives its Python object: opened again on its folder, it goes on where it was.
 
 Cases: null or empty texts and texts without a-z0-9 have no key and are left out; so are rows whose owner is null.
 Repeated rows and ids delivered again in a later batch count once. An empty batch leaves the ledger as it is.
@@ -13,6 +13,8 @@ Repeated rows and ids delivered again in a later batch count once. An empty batc
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,29 +55,44 @@ def keyed(df: DataFrame, text: str, owner: str | None, id_col: str, buckets: int
 class CopyLedger:
     """Bucketed counts of canonical keys under one folder; update() folds in a batch, counts() reads the state.
 
-    The manifest of a version names, for every bucket, the version whose files hold it, so a version is visible
-    only once it is complete and a failed update leaves the last version in force.
+    A ledger opened on a folder goes on from the newest manifest there. A manifest names, for every bucket, the folder that holds its
+    counts and the folders that hold its members: members are only added to, counts are written anew for the buckets a batch
+    touches. A manifest comes into force by one rename after all its files are complete, so an update that fails at any point
+    leaves the last version as it is, and what it had written is never read; the folder's counts that no manifest needs any more are
+    removed after the next update. Where a bucket's members lie in more than `most_parts` folders, they are put together. One writer
+    at a time: of two, the second's rename fails and its update counts for nothing.
     """
 
     COUNTS = "key binary, n_copies bigint, keep_id string"
     MEMBERS = "key binary, id string"
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets, self.version = spark, folder.rstrip("/"), buckets, 0
-        self.held: dict[str, int] = {}  # bucket -> version, at most `buckets` entries
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, most_parts: int = 16):
+        self.spark, self.folder, self.buckets, self.most_parts = spark, folder.rstrip("/"), buckets, most_parts
+        self.state: dict = {"version": 0, "buckets": buckets, "counts": {}, "members": {}}  # at most `buckets` entries each
+        root = self._path("")
+        names = [f.getPath().getName() for f in self._fs().listStatus(root)] if self._fs().exists(root) else []
+        versions = [int(m.group(1)) for m in (re.fullmatch(r"manifest-(\d+)\.json", n) for n in names) if m]
+        if versions:
+            self.state = json.loads(spark.read.text(f"{self.folder}/manifest-{max(versions)}.json", wholetext=True).first()[0])
+            if self.state["buckets"] != buckets:
+                raise ValueError(f"the ledger has {self.state['buckets']} buckets")
+
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
     def _read(self, kind: str, schema: str, only: list[int]) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/v{self.held[str(b)]}/bucket={b}" for b in only if str(b) in self.held]
-        empty = self.spark.createDataFrame([], f"{schema}, bucket int")
-        if not paths:
-            return empty
-        by_version: dict[str, list[str]] = {}
-        for p in paths:
-            by_version.setdefault(p.rsplit("/", 1)[0], []).append(p)
-        out = None
-        for base, some in by_version.items():
-            part = self.spark.read.option("basePath", base).schema(f"{schema}, bucket int").parquet(*some)
-            out = part if out is None else out.unionByName(part)
+        held = self.state[kind]
+        by_part: dict[str, list[str]] = {}
+        for b in only:
+            for part in held.get(str(b), []):
+                by_part.setdefault(part, []).append(f"{self.folder}/{kind}/{part}/bucket={b}")
+        out = self.spark.createDataFrame([], f"{schema}, bucket int") if not by_part else None
+        for part, paths in by_part.items():
+            read = self.spark.read.option("basePath", f"{self.folder}/{kind}/{part}").schema(f"{schema}, bucket int").parquet(*paths)
+            out = read if out is None else out.unionByName(read)
         return out
 
     def counts(self) -> DataFrame:
@@ -84,26 +101,20 @@ class CopyLedger:
     def members(self) -> DataFrame:
         return self._read("members", self.MEMBERS, list(range(self.buckets)))
 
+    def _write(self, df: DataFrame, kind: str, part: str) -> DataFrame:
+        # rebalanced, not repartitioned: a bucket with many rows is split over several tasks and files
+        df.hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.folder}/{kind}/{part}")
+        return self.spark.read.schema(f"{getattr(self, kind.upper())}, bucket int").parquet(f"{self.folder}/{kind}/{part}")
+
     def update(self, batch: DataFrame) -> None:
-        """batch: (bucket, key, id) from keyed(). Reads and rewrites only the buckets that the batch touches."""
+        """batch: (bucket, key, id) from keyed(). Reads the buckets that the batch touches, adds to their members, rewrites their counts."""
         batch = materialize(batch, "batch")
         touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most self.buckets numbers
         if not touched:
             return
-        v = self.version + 1
+        part = f"v{self.state['version'] + 1}-{uuid.uuid4().hex}"
         known = self._read("members", self.MEMBERS, touched)
-        fresh = batch.join(known, ["bucket", "key", "id"], "left_anti") if self.held else batch
-        members = known.select("bucket", "key", "id").unionByName(fresh.select("bucket", "key", "id"))
-        # rebalanced, not repartitioned: a bucket with a hot key is split over several tasks and files
-        members.hint("rebalance", "bucket").write.partitionBy("bucket").option(
-            "compression", "zstd"
-        ).parquet(f"{self.folder}/members/v{v}")
-        if self.held:
-            fresh = self.spark.read.schema(f"{self.MEMBERS}, bucket int").parquet(f"{self.folder}/members/v{v}").join(
-                known, ["bucket", "key", "id"], "left_anti"
-            )
-        else:
-            fresh = self.spark.read.schema(f"{self.MEMBERS}, bucket int").parquet(f"{self.folder}/members/v{v}")
+        fresh = self._write(batch.join(known, ["bucket", "key", "id"], "left_anti"), "members", part)
         added = fresh.groupBy("bucket", "key").agg(F.count("*").alias("add_n"), F.min("id").alias("add_id"))
         old = self._read("counts", self.COUNTS, touched)
         merged = old.join(added, ["bucket", "key"], "full_outer").select(
@@ -112,19 +123,34 @@ class CopyLedger:
             (F.coalesce("n_copies", F.lit(0)) + F.coalesce("add_n", F.lit(0))).alias("n_copies"),
             F.least("keep_id", "add_id").alias("keep_id"),
         )
-        merged.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(
-            f"{self.folder}/counts/v{v}"
-        )
-        held = self.held | {str(b): v for b in touched}
-        self._write_manifest(v, held)
-        self.version, self.held = v, held
-
-    def _write_manifest(self, v: int, held: dict[str, int]) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.folder}/manifest-{v}.json")
-        out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(json.dumps(held).encode()))
+        self._write(merged, "counts", part)
+        grown = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most self.buckets numbers
+        members = self.state["members"] | {str(b): [*self.state["members"].get(str(b), []), part] for b in grown}
+        self._commit({"counts": self.state["counts"] | {str(b): [part] for b in touched}, "members": members})
+        many = [int(b) for b, parts in members.items() if len(parts) > self.most_parts]
+        if many:
+            part = f"v{self.state['version'] + 1}-{uuid.uuid4().hex}"
+            self._write(self._read("members", self.MEMBERS, many), "members", part)
+            self._commit({"members": members | {str(b): [part] for b in many}})
+
+    def _commit(self, changed: dict) -> None:
+        """Brings the next version into force; then removes folders of counts and members that only older versions but the last one name."""
+        fs, v, last = self._fs(), self.state["version"] + 1, self.state
+        state = last | changed | {"version": v}
+        made, named = self._path(f".manifest-{v}-{uuid.uuid4().hex}"), self._path(f"manifest-{v}.json")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
+        if fs.exists(named) or not fs.rename(made, named):
+            fs.delete(made, False)
+            raise RuntimeError(f"version {v} of the ledger was written by another update")
+        self.state = state
+        for kind in ("counts", "members"):
+            kept = {part for s in (state, last) for parts in s[kind].values() for part in parts}
+            for f in fs.listStatus(self._path(kind)):
+                number = re.match(r"v(\d+)-", f.getPath().getName())
+                if number and int(number.group(1)) < v and f.getPath().getName() not in kept:
+                    fs.delete(f.getPath(), True)
 
 
 def batches_by_time(df: DataFrame, time_col: str, share: float = 0.5) -> list[DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import boilerplate, chunking, copies, leakage, neardup, ocr, overlap, packing, reading, splits
 from lexweave.llm.sql import SQL
-from lexweave.session import shared_dir
+from lexweave.session import delete_later, shared_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -38,7 +38,9 @@ def p1_report(spark, d):
 
 def _ledger(spark, d):
     clauses = _t(spark, d, "policy_clauses").select("clause_id", "app_name", "clause_text", "ingested_at")
-    ledger = copies.CopyLedger(spark, f"{shared_dir(spark)}/lexweave-ledger-{uuid.uuid4().hex}", buckets=16)
+    folder = f"{shared_dir(spark)}/lexweave-ledger-{uuid.uuid4().hex}"
+    delete_later(spark, folder)
+    ledger = copies.CopyLedger(spark, folder, buckets=16)
     for batch in copies.batches_by_time(clauses, "ingested_at"):
         ledger.update(copies.keyed(batch, "clause_text", "app_name", "clause_id", ledger.buckets))
     return ledger

@@ -228,6 +228,32 @@ def test_ledger_counts_batches_like_one_load(spark, tmp_path, parts):
     assert {tuple(r) for r in copies.copy_pairs(ledger).collect()} == want
 
 
+def test_ledger_goes_on_after_a_failure(spark, tmp_path):
+    """Opened again it continues; an update that fails in the middle leaves the last version; old folders are removed."""
+    folder, rows = f"file://{tmp_path}/ledger", [(f"S{i:03d}", "App", f"text {i % 7}") for i in range(60)]
+    batch = lambda lo, hi: copies.keyed(spark.createDataFrame(rows[lo:hi], "clause_id string, app_name string, clause_text string"), "clause_text", "app_name", "clause_id", 4)
+    state = lambda: sorted((r["keep_id"], r["n_copies"]) for r in copies.CopyLedger(spark, folder, 4).counts().collect())
+    want = lambda n: sorted((f"S{k:03d}", len(range(k, n, 7))) for k in range(7))
+    copies.CopyLedger(spark, folder, 4).update(batch(0, 20))
+    assert state() == want(20)
+    broken = copies.CopyLedger(spark, folder, 4)
+    broken._commit = lambda changed: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        broken.update(batch(20, 40))
+    assert state() == want(20)
+    first, second = copies.CopyLedger(spark, folder, 4, most_parts=2), copies.CopyLedger(spark, folder, 4)
+    first.update(batch(10, 40))
+    with pytest.raises(RuntimeError):  # opened before the other's update
+        second.update(batch(40, 60))
+    assert state() == want(40)
+    first.update(batch(40, 60))
+    assert state() == want(60) and copies.copy_pairs(copies.CopyLedger(spark, folder, 4)).count() == 53
+    held = {p for s in (first.state,) for parts in s["members"].values() for p in parts}
+    assert len(held) < 3 and len(list((tmp_path / "ledger" / "counts").iterdir())) <= 2
+    with pytest.raises(ValueError):
+        copies.CopyLedger(spark, folder, 8)
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 40, 3])
 def test_components_at_every_size(spark, limit):
     rng = random.Random(limit)
