@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import boilerplate, chunking, copies, leakage, neardup, ocr, overlap, packing, reading, splits
-from lexweave.llm.sql import SQL
+from lexweave.llm.sql import LINES_MIN_SHARE, SQL
 from lexweave.session import delete_later, shared_dir
 
 
@@ -72,6 +72,11 @@ def p4_found(spark, d):
     return _repeated(spark, d).select(F.col("id").alias("clause_id"), "line_no")
 
 
+def p4_by_share(spark, d):
+    out = boilerplate.repeated_lines(_t(spark, d, "raw_clauses"), _t(spark, d, "pages_in"), boilerplate.LINES_MIN_DOCS, LINES_MIN_SHARE)
+    return out.select(F.col("id").alias("clause_id"), "line_no")
+
+
 def p4_clean_blocks(spark, d):
     out = boilerplate.without_lines(_t(spark, d, "raw_clauses"), _repeated(spark, d))
     return out.select(F.col("id").alias("clause_id"), "clean_text", "n_removed")
@@ -156,6 +161,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_splits": p3_splits,
     "p4_found": p4_found,
+    "p4_by_share": p4_by_share,
     "p4_clean_blocks": p4_clean_blocks,
     "p7_found": p7_found,
     "p7_paragraphs": p7_paragraphs,

@@ -29,6 +29,9 @@ LINE = "regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[^a-z0-
 LINES = f"(select clause_id, {KEY('app_name')} own, source_file, (n - 1)::int line_no, {LINE} k from (select *, unnest(string_split(clause_text, chr(10))) line, generate_subscripts(string_split(clause_text, chr(10)), 1) n from {CLEAR}) where {LINE} <> '' and app_name is not null)"
 GONE = f"(select distinct clause_id, line_no from {LINES} l join (select own, k from {LINES} group by own, k having count(distinct source_file) >= {LINES_MIN_DOCS}) f using (own, k))"
 
+LINES_MIN_SHARE = 0.5  # of p4_by_share
+GONE_BY_SHARE = f"(select distinct clause_id, line_no from {LINES} l join (select own, k, count(distinct source_file) c from {LINES} group by own, k having c >= {LINES_MIN_DOCS}) f using (own, k) join (select own, count(distinct source_file) n from {LINES} group by own) using (own) where c >= {LINES_MIN_SHARE} * n)"
+
 SQL = {
     "p1_found": f"select least(a.id, b.id) as clause_id_a, greatest(a.id, b.id) as clause_id_b from (select * from {SETS} join {SPLITS} using (id) where s = 'train') a join (select * from {SETS} join {SPLITS} using (id) where s <> 'train') b on {SIZES} and {NEAR}",
     "p2_found": f"select min(id) over (partition by own, form) as keep_clause_id, id as clause_id from {COPIES} qualify min(id) over (partition by own, form) <> id",
@@ -45,4 +48,12 @@ SQL = {
     " select distinct item_id, doc_id from g join d using (g)",
     "p9_runs": f"with g as (select item_id, i, array_to_string(w[i:i + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) i from (select item_id, {WORDS('text')} w from eval_items))), d as (select distinct doc_id, i j, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from (select doc_id, {WORDS('text')} w from documents))),"
     " m as (select item_id, doc_id, j - i k, i - row_number() over (partition by item_id, doc_id, j - i order by i) r from g join d using (g)), n as (select item_id, doc_id, count(*) + 11 c from m group by item_id, doc_id, k, r) select item_id, doc_id, max(c)::int as run_words from n group by item_id, doc_id",
+    "p4_by_share": f"select clause_id, line_no from {GONE_BY_SHARE}",
+    "p1_overlaps": f"select a.id as clause_id, a.s as split, count(*) as n_links, round(max(len(list_intersect(a.w, b.w)) / a.n), 6) as overlap from (select * from {SETS} join {SPLITS} using (id) where s <> 'train') a"
+    f" join (select * from {SETS} join {SPLITS} using (id) where s = 'train') b on {SIZES} and {NEAR} group by a.id, a.s",
+    "p1_report": f"with l as materialized (select a.id, count(*) n from (select * from {SETS} join {SPLITS} using (id) where s <> 'train') a join (select * from {SETS} join {SPLITS} using (id) where s = 'train') b on {SIZES} and {NEAR} group by a.id)"
+    f" select s as split, app_key, count(*) as n_records, count(l.n) as n_overlapping, coalesce(sum(l.n), 0)::bigint as n_links from {SPLITS} e join (select clause_id id, coalesce(min({KEY('app_name')}), '') app_key from policy_clauses group by clause_id) p using (id)"
+    " left join l using (id) where s <> 'train' group by s, app_key",
+    "p6_groups": f"with recursive s as materialized {SETS}, p as materialized (select a.id a, b.id b from s a join s b on a.id < b.id and {SIZES} and {NEAR}), e as (select a, b from p union all select b, a from p),"
+    " r as (select id a, id b from s union select r.a, e.b from r join e on e.a = r.b) select a as clause_id, min(b) as group_id, count(*)::bigint as group_size from r group by a",
 }
