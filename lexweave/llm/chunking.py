@@ -1,10 +1,10 @@
 """Problem 5: splitting oversized items at natural boundaries.
 
 Every place where a text may be cut has a strength: paragraph 5, list item 4, sentence 3, after ; or : 2, after a comma or a
-closing bracket 1, white space 0. A sparse table answers, for any window, where the strongest cut lies, ties to the right.
-From a piece's start the strongest cut in the second half of the permissible length is taken; only if there is no sentence,
-item or paragraph start, the whole permissible window is searched. The next piece starts up to `overlap` characters before the
-cut, at the strongest place there. A window without any cut is cut at the limit.
+closing bracket 1, white space 0. A sparse table answers, for any window, where the strongest cut lies.
+A piece ends at the strongest cut of all that its permissible length reaches (after the end of the piece before), the rightmost of
+equals. The next piece starts at the strongest place within the `overlap` characters before that cut, the leftmost of
+equals, so that the overlap is as long as it may be. A window without any cut is cut at the limit.
 
 Positions count characters (code points). Cases: null texts and texts within the limit give one piece (or no row, with
 ``only_long``); repeated ids give one set of pieces; null headings stay null.
@@ -89,26 +89,45 @@ def boundaries(text: str) -> dict[int, int]:
 
 
 class StrongestCut:
-    """Sparse table of range maxima over (strength, position): query(lo, hi) in constant time."""
+    """Sparse tables of range maxima over (strength, position), one with ties to the right and one with ties to the left: queries
+    take constant time."""
+
+    FAR = (1 << 40) - 1
 
     def __init__(self, at: np.ndarray, strength: np.ndarray):
         self.at = at
-        level = strength.astype(np.int64) << 40 | at.astype(np.int64)
-        self.levels = [level]
-        step = 1
-        while 2 * step <= len(at):
+        self.right = self._levels(strength.astype(np.int64) << 40 | at.astype(np.int64))
+        self.left = self._levels(strength.astype(np.int64) << 40 | self.FAR - at.astype(np.int64))
+
+    @staticmethod
+    def _levels(level: np.ndarray) -> list[np.ndarray]:
+        out, step = [level], 1
+        while 2 * step <= len(out[0]):
             level = np.maximum(level[:-step], level[step:])
-            self.levels.append(level)
+            out.append(level)
             step *= 2
+        return out
 
-    def query(self, lo: int, hi: int) -> tuple[int, int] | None:
-        """(position, strength) of the strongest cut with lo <= position <= hi, the rightmost of equals."""
+    def query(self, lo: int, hi: int, leftmost: bool = False) -> tuple[int, int] | None:
+        """(position, strength) of the strongest cut with lo <= position <= hi, the rightmost of equals, or the leftmost."""
         i, j = np.searchsorted(self.at, (lo, hi + 1))
         if i >= j:
             return None
-        k = int(j - i).bit_length() - 1
-        best = int(max(self.levels[k][i], self.levels[k][j - (1 << k)]))
-        return best & ((1 << 40) - 1), best >> 40
+        levels, k = self.left if leftmost else self.right, int(j - i).bit_length() - 1
+        best = int(max(levels[k][i], levels[k][j - (1 << k)]))
+        place = best & self.FAR
+        return self.FAR - place if leftmost else place, best >> 40
+
+    def at_least(self, strength: int) -> list[tuple[int, int]]:
+        """All (position, strength) of at least this strength, in order: the strongest of a range divides it, until none is left."""
+        out, ranges = [], [(0, self.FAR - 1)]
+        while ranges:
+            lo, hi = ranges.pop()
+            best = self.query(lo, hi) if lo <= hi else None
+            if best and best[1] >= strength:
+                out.append(best)
+                ranges += [(lo, best[0] - 1), (best[0] + 1, hi)]
+        return sorted(out)
 
 
 def cuts(text: str) -> StrongestCut:
@@ -128,13 +147,10 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     out, start, done = [], 0, 0
     table = cuts(text)
     while len(text) - start > limit:
-        hi = start + limit
-        best = table.query(max(done + 1, start + limit // 2), hi)
-        if best is None or best[1] < SENTENCE:
-            best = table.query(done + 1, hi) or best
-        end = best[0] if best else hi
+        best = table.query(done + 1, start + limit)
+        end = best[0] if best else start + limit
         out.append((start, end))
-        back = table.query(max(start + 1, end - overlap), end - 1) if overlap else None
+        back = table.query(max(start + 1, end - overlap), end - 1, leftmost=True) if overlap else None
         cold = end - overlap if end - overlap > start else end  # no place to start at: so many characters, but never backwards
         start, done = (back[0] if back else cold), end
     out.append((start, len(text)))
@@ -153,7 +169,7 @@ def boundary_rows(df: DataFrame, id_col: str, text: str, limit: int = LIMIT) ->
 
     def run(batches):
         for batch in batches:
-            rows = [(i, k, v) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, v in sorted(boundaries(t).items())]
+            rows = [(i, k, v) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, v in cuts(t).at_least(SENTENCE)]
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32()))], ["id", "boundary_at", "strength"]

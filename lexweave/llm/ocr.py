@@ -100,19 +100,23 @@ def lines_of(blocks: DataFrame) -> DataFrame:
 
 
 def furniture(lines: DataFrame, min_pages: int = 2) -> DataFrame:
-    """(clause_id, line_no, kind) of running headers and page numbers of scanned blocks."""
+    """(clause_id, line_no, kind) of running headers and page numbers of scanned blocks. A document may have any number of running
+    headers (left and right pages, one for each chapter): a first line is one if its letters are nearly those of a first line that stands on
+    min_pages pages of the document."""
     edge = lines.where("scanned and (first or last)")
     number = edge.where(F.col("last") & F.col("line").rlike(PAGE_LINE)).select("clause_id", "line_no", F.lit("number").alias("kind"))
     heads = edge.where(F.col("first") & ~F.col("line").rlike(PAGE_LINE)).select(
         "clause_id", "doc", "page", "app_key", "line_no", F.regexp_replace(F.lower(_unligature(F.col("line"))), "[^a-z]+", "").alias("key")
     )
     seen = heads.where("key <> ''").groupBy("doc", "key").agg(F.count_distinct("page").alias("n"))
-    best = seen.groupBy("doc").agg(F.max(F.struct("n", "key")).alias("b")).where(F.col("b.n") >= min_pages).select("doc", F.col("b.key").alias("best"))
+    often = seen.where(F.col("n") >= min_pages).select("doc", F.col("key").alias("best"))
+    # distinct first lines are matched with the recurring ones of their document, not every page's line
     near = F.levenshtein("key", "best") * 8 <= F.length("best")
+    alike = seen.select("doc", "key").join(often, "doc").where(near).select("doc", "key").distinct().withColumn("recurs", F.lit(True))
     app = F.regexp_replace("app_key", "[^a-z]+", "")
     named = (F.length(app) >= 4) & (F.levenshtein(F.expr("left(key, length(regexp_replace(app_key, '[^a-z]+', '')))"), app) <= F.when(F.length(app) >= 8, 1).otherwise(0))
     named = named & ~F.trim(F.col("key")).eqNullSafe("")
-    header = heads.join(best, "doc", "left").where(F.coalesce(near, F.lit(False)) | F.coalesce(named, F.lit(False)))
+    header = heads.join(alike, ["doc", "key"], "left").where(F.coalesce("recurs", F.lit(False)) | F.coalesce(named, F.lit(False)))
     return number.unionByName(header.select("clause_id", "line_no", F.lit("header").alias("kind")))
 
 
@@ -164,7 +168,8 @@ def corrections(suspects: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class Repair:
-    """Everything found out about the blocks of one pair of tables; found() and paragraphs() read it."""
+    """Everything found out about the blocks of one pair of tables; found() and paragraphs() read it. Headers of more than one line
+    and footers stay, and page numbers are looked for on the last line only."""
 
     def __init__(self, raw: DataFrame, pages: DataFrame):
         self.blocks = blocks_of(raw, pages)

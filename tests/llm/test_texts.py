@@ -61,6 +61,19 @@ def test_sparse_table_equals_a_scan(size):
         lo, hi = sorted((rng.randrange(1000), rng.randrange(1000)))
         inside = [(s, int(p)) for p, s in zip(at, strength) if lo <= p <= hi]
         assert table.query(lo, hi) == ((max(inside)[1], max(inside)[0]) if inside else None)
+        left = min(((-s, p) for s, p in inside), default=None)
+        assert table.query(lo, hi, leftmost=True) == ((left[1], -left[0]) if left else None)
+    for least in range(7):
+        assert table.at_least(least) == [(int(p), int(s)) for p, s in zip(at, strength) if s >= least]
+
+
+def test_strongest_cut_of_the_whole_window_and_longest_overlap():
+    words = lambda n: ("word " * (n // 5 + 1))[: n - 1] + " "
+    text = words(320)[:-1] + ".\n\n" + "Next " + words(370)[:-2] + ". " + "Then " + words(1500)
+    assert chunking.split(text)[0] == (0, 322)  # the paragraph, not the later sentence
+    plain = "word " * 800
+    pieces = chunking.split(plain)
+    assert all(136 <= b - c <= 140 for (_, b), (c, _) in zip(pieces, pieces[1:]))
 
 
 @pytest.mark.parametrize("limit, overlap", [(1400, 140), (50, 0), (60, 20)])
@@ -224,6 +237,15 @@ def test_edits_within_the_budget_are_found(spark):
     assert {(r["item_id"], r["doc_id"]): r["edits"] for r in got.collect()} == {k: e for k, e in least.items() if e <= 1}
 
 
+def test_documents_with_several_running_headers(spark):
+    """Headers alternate on left and right pages, and one is misread."""
+    heads = ["Privacy Handbook Volume One", "Chapter on Sharing of Records"]
+    rows = [(f"b{p}", "App", "f", p, f"{heads[p % 2] if p != 7 else 'Chapter 0n Shar1ng of Recerds'}\nBody of page {chr(97 + p)} goes here.\n{p}") for p in range(10)]
+    pages = spark.createDataFrame([("f", p, "x", True) for p in range(10)], PAGES)
+    found = ocr.Repair(spark.createDataFrame(rows, BLOCKS), pages).found().where("found_text = ''")
+    assert {tuple(r) for r in found.select("clause_id", "line_no").collect()} == {(f"b{p}", k) for p in range(10) for k in (0, 2)}
+
+
 EASY = ["The cat sat on the mat.", "We like to play ball.", "He can see a big dog.", "You and I eat jam."]
 HARD = ["Notwithstanding the aforementioned stipulations, indemnification obligations shall survive termination.", "Jurisdictional determinations necessitate comprehensive documentation of contractual representations."]
 
