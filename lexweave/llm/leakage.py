@@ -16,6 +16,7 @@ rows give one result; ids may be of any type.
 from __future__ import annotations
 
 import bisect
+from collections import defaultdict
 from itertools import accumulate
 
 import pyarrow as pa
@@ -146,27 +147,37 @@ def _scanner(sent, id_type, passage: int, budget: int):
 
 def _judge(w, hits, block, piece, passage, budget):
     """(item, (longest run, least edits)) of the items that keep within the budget in the document w."""
-    starts = list(accumulate((len(x) + 1 for x in w), initial=0))
-    found: dict[int, dict[int, list[int]]] = {}
+    starts = list(accumulate(map(len, w), lambda at, n: at + n + 1, initial=0))
+    diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
     for end, (length, places) in hits:
         j = bisect.bisect_left(starts, end + 1 - length)  # index of the hit's first word
         for n, i in places:
-            found.setdefault(n, {}).setdefault(j - i, []).append(i)
-    for n, diagonals in found.items():
-        item, best, longest = block[n][1], budget + 1, 0
-        for shift, at in diagonals.items():
-            first = last = at[0]
-            for i in [*at[1:], None]:  # rising, for the document was read in order
-                if i is not None and i == last + 1:
-                    last = i
-                    continue
-                length = last + piece - first
-                longest = max(longest, length)
-                # every passage that holds one of these pieces whole; of a run that is long enough, its beginning settles it
-                reach = (first,) if length >= passage else range(max(0, first + piece - passage), min(last, len(item) - passage) + 1)
-                for s in reach:
-                    if best:
-                        best = min(best, myers(item[s : s + passage], w[max(0, s + shift - budget) : s + shift + passage + budget]))
-                first = last = i
-        if best <= budget:
-            yield n, (longest, best)
+            diagonals[n, j - i].append(i)
+    found: dict[int, tuple[int, int]] = {}
+    near = budget + 1
+    for (n, shift), at in diagonals.items():
+        item = block[n][1]
+        longest, best = found.get(n, (0, budget + 1))
+        first = last = at[0]
+        for i in [*at[1:], None]:  # rising, for the document was read in order
+            if i is not None and i == last + 1:
+                last = i
+                continue
+            end = last + piece
+            longest = max(longest, end - first)
+            # a passage within the budget that reaches beyond the run on one side has, cut to the run's other end, no more edits;
+            # and of the budget + 1 words next to the run, one must have its like near by
+            if best:
+                right, left = item[end : end + near], item[max(0, first - near) : first]
+                at_right = min(first, len(item) - passage)
+                at_left = max(0, end - passage)
+                after = w[end + shift : end + shift + near + budget]
+                before = w[max(0, first + shift - near - budget) : max(0, first + shift)]
+                for s, words, like in ((at_right, right, after), (at_left, left, before)):
+                    if best and (end - first > passage - near or not set(words).isdisjoint(like) or len(words) < near):
+                        around = w[max(0, s + shift - budget) : s + shift + passage + budget]
+                        if len(set(item[s : s + passage]).difference(around)) <= budget:
+                            best = min(best, myers(item[s : s + passage], around))
+            first = last = i
+        found[n] = longest, best
+    return ((n, x) for n, x in found.items() if x[1] <= budget)
