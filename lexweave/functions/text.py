@@ -40,9 +40,27 @@ def display(c: Column) -> Column:
     return F.coalesce(line(c), F.lit(""))
 
 
+def _compatible() -> tuple[str, str]:
+    """By rule: the characters of the basic plane whose compatibility form is one other character, and these forms."""
+    pairs = [(ch, unicodedata.normalize("NFKC", ch)) for ch in map(chr, range(0xA0, 0xFFF0)) if not 0xD800 <= ord(ch) < 0xE000]
+    pairs = [(x, y) for x, y in pairs if len(y) == 1 and x != y and x not in WIDE]
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+_FORMS = _compatible()
+# Characters whose form is longer than one, of those that European text has: expanded in the JVM.
+LONGER = "\u2026\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06\u00bc\u00bd\u00be\u2116\u2122\u2025\u00df"
+
+
 def canonical(c: Column) -> Column:
-    """display() without soft hyphens, lower case. For texts whose letters have compatibility forms see canonical_nfkc()."""
-    return F.lower(display(F.replace(c, F.lit("­"), F.lit(""))))
+    """Compatibility forms (NFKC) in place of ligatures, full-width letters, superscripts and the like, no soft hyphens, white space
+    squeezed, lower case; null gives ''. Texts with combining marks or rarer expansions need canonical_nfkc(), which calls Python for them."""
+    x = F.translate(c, WIDE + _FORMS[0] + "\u00ad", " " * len(WIDE) + _FORMS[1])  # the soft hyphen has no counterpart, so it goes
+    more = x
+    for ch in LONGER:
+        more = F.replace(more, F.lit(ch), F.lit(unicodedata.normalize("NFKC", ch).casefold()))
+    x = F.when(x.rlike(f"[{LONGER}]"), more).otherwise(x)
+    return F.coalesce(F.lower(F.trim(F.regexp_replace(x, "[ \t\n\x0b\f\r]+", " "))), F.lit(""))
 
 
 @F.pandas_udf(StringType())
@@ -100,6 +118,17 @@ def parse_percent(c: Column) -> Column:
     return F.coalesce(F.trim(F.replace(c, F.lit("%"), F.lit(""))).try_cast("double"), F.lit(0.0))
 
 
+def display_name(id_: Column, name: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
+    """The display name of the first rule whose text occurs in the upper-cased name or id (rules hold in order); else the default."""
+    both = F.upper(F.concat_ws(" ", id_, name))
+    return first_containing(both, rules, F.lit(default).cast("string"))
+
+
+def context(*parts: tuple[str, Column]) -> Column:
+    """Labelled parts of a text for a model, one after the other; a part without a value is left out."""
+    return F.concat_ws(" ", *[F.when(display(c) != "", F.concat(F.lit(f"{name}: "), display(c))) for name, c in parts])
+
+
 def level(c: Column) -> Column:
     """High, Medium or Low; anything else is Medium."""
     s = F.lower(F.trim(c))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.operators import segment
+from lexweave.session import materialize
 
 
 def map_values(df: DataFrame, column: str, table: dict[str, str], key=lambda c: c) -> DataFrame:
@@ -25,10 +26,13 @@ def override(df: DataFrame, patches: DataFrame, key: str, column: str) -> DataFr
 
 
 def quota(df: DataFrame, keys: list[str], allowed: Column, column: str, reset: str, *order: str) -> DataFrame:
-    """The first row of each key among allowed rows keeps its value; all other rows are reset. First claim wins."""
-    w = Window.partitionBy("_ok", *keys).orderBy(*order)
-    x = df.withColumn("_ok", allowed).withColumn("_r", F.row_number().over(w))
-    return x.withColumn(column, F.when(F.col("_ok") & (F.col("_r") == 1), F.col(column)).otherwise(reset)).drop("_ok", "_r")
+    """The first row of each key among allowed rows keeps its value; all other rows are reset. First claim wins; of rows that tie, one.
+
+    The first claims come from an aggregate over allowed rows, one row for each key, and are joined back: no key's rows are ranked."""
+    x = materialize(df.withColumn("_ok", F.coalesce(allowed, F.lit(False))).withColumn("_u", F.monotonically_increasing_id()), "claims")
+    first = x.where("_ok").groupBy(*keys).agg(F.min(F.struct(*order, "_u")).alias("_m")).select(F.col("_m._u").alias("_u"), F.lit(True).alias("_won"))
+    x = x.join(first, "_u", "left")
+    return x.withColumn(column, F.when(F.col("_won"), F.col(column)).otherwise(reset)).select(*df.columns)
 
 
 def append_numbered(old: DataFrame, new: DataFrame, id_col: str, prefix: str, digits: int, *order: str) -> DataFrame:
@@ -47,6 +51,6 @@ def cached(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 def merge_back(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
     """Old rows whose key new doesn't have, and of new the last row for each key by order."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    last = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    last = new.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*new.columns), F.struct(*order)).alias("_l"))
+    last = last.select(*[F.col("_l").getField(c).alias(c) for c in new.columns])
     return old.join(last.select(key), key, "left_anti").unionByName(last)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions.keys import computed_once
+
 LABELS = ["Compliant", "Partially Compliant", "Not Addressed"]
 
 
@@ -54,6 +59,51 @@ def summary(rep: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def matthews(table: DataFrame, *keys: str) -> DataFrame:
+    """(keys, mcc) of a confusion table over any number of classes; 0 where either side has one class only."""
+    n, hit = F.sum("n"), F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0))
+    square = lambda side: table.groupBy(*keys, side).agg(F.sum("n").alias("_n"))
+    t = square("truth").withColumnsRenamed({"truth": "_l", "_n": "_t"})
+    g = square("guess").withColumnsRenamed({"guess": "_l", "_n": "_g"})
+    sums = t.join(g, [*keys, "_l"]).groupBy(*keys).agg(F.sum(F.col("_t") * F.col("_g")).alias("tg"), F.sum(F.col("_t") * F.col("_t")).alias("tt"), F.sum(F.col("_g") * F.col("_g")).alias("gg"))
+    x = table.groupBy(*keys).agg(n.cast("double").alias("_n"), hit.cast("double").alias("_h"))
+    x = x.join(sums, list(keys)) if keys else x.crossJoin(F.broadcast(sums))  # one row each
+    down = F.sqrt((F.col("_n") * F.col("_n") - F.col("tt")) * (F.col("_n") * F.col("_n") - F.col("gg")))
+    return x.select(*keys, F.coalesce(F.try_divide(F.col("_h") * F.col("_n") - F.col("tg"), down), F.lit(0.0)).alias("mcc"))
+
+
+def bootstrap_accuracy(df: DataFrame, id_col: str, truth: str, guess: str, rounds: int = 200, share: float = 0.95) -> DataFrame:
+    """One row (accuracy, low, high): the accuracy and its bootstrap interval.
+
+    In each round every row counts a Poisson(1) number of times, drawn from a hash of its id and the round, so no round gathers or
+    samples anything: rows are folded into two numbers for each round before they are shuffled."""
+    steps, p, total = [], math.exp(-1), 0.0
+    for k in range(1, 12):
+        total += p
+        steps.append(total)
+        p /= k
+    x = df.select(F.col(id_col).cast("string").alias("_i"), F.col(truth).eqNullSafe(F.col(guess)).cast("int").alias("_ok")).select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    u = F.conv(F.left(F.sha2(F.concat_ws(":", "_i", "round"), 256), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    times = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: F.col("_u") >= s))
+    each = computed_once(x, _u=u).withColumn("_w", times).groupBy("round").agg((F.sum(F.col("_w") * F.col("_ok")) / F.nullif(F.sum("_w"), F.lit(0))).alias("a"))
+    ends = each.agg(*[F.percentile("a", F.lit(q)).alias(n) for q, n in (((1 - share) / 2, "low"), ((1 + share) / 2, "high"))])
+    whole = df.agg(F.avg(F.col(truth).eqNullSafe(F.col(guess)).cast("double")).alias("accuracy"))
+    return whole.crossJoin(F.broadcast(ends))  # one row each
+
+
+def calibrated(fit_on: DataFrame, df: DataFrame, score: str, hit: str, name: str = "calibrated") -> DataFrame:
+    """df with an isotonic calibration of `score`, fitted on fit_on(score, hit 0 or 1); scores beyond the fitted range take its ends.
+    Rows without a score stay without one; without rows to fit on the score itself is kept."""
+    rows = fit_on.where(F.col(score).isNotNull() & F.col(hit).isNotNull()).select(F.col(score).cast("double").alias("_s"), F.col(hit).cast("double").alias("label"))
+    if rows.isEmpty():
+        return df.withColumn(name, F.col(score).cast("double"))
+    # the model's steps are a function of scores: at most one for each distinct score, of rows counted beforehand
+    counted = rows.groupBy(F.round("_s", 6).alias("features")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight", predictionCol=name).fit(counted)
+    known = model.setFeaturesCol("_s").transform(df.where(F.col(score).isNotNull()).withColumn("_s", F.col(score).cast("double"))).drop("_s")
+    return known.unionByName(df.where(F.col(score).isNull()).withColumn(name, F.lit(None).cast("double")))
+
+
 def grid_search(df: DataFrame, truth: str, p_yes: str, p_part: str, grid: list[tuple[float, float]], least_precision: float = 0.7) -> DataFrame:
     """One row (t_yes, t_part, macro_f1): the thresholds with the best macro F1 whose precision for the first label reaches the
     bound; the first of equals in the grid's order; no row if none does. One pass over the data: counts per cell of the grid."""

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from lexweave.functions import text as T
+from lexweave.functions.keys import computed_once
 from lexweave.operators import segment
 from lexweave.session import materialize
 
@@ -22,10 +28,10 @@ def exact_groups(df: DataFrame, key: Column, *order: str, prefix: str = "EXACT-"
 
 
 def first_per_key(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key; null keys are one key. Only the rows' order columns are compared in the partial aggregate."""
-    best = df.withColumn("_k", key)
-    w = Window.partitionBy("_k").orderBy(*order)
-    return best.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_k", "_r")
+    """The first row of each key; null keys are one key. An aggregate, so each task ships one row for each of its keys, however many
+    rows share one; of rows that tie in all order columns any one is taken."""
+    first = df.groupBy(key.alias("_k")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
+    return first.select(*[F.col("_r").getField(c).alias(c) for c in df.columns])
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -53,7 +59,8 @@ def similar(df: DataFrame, id_col: str, tokens: str, num: int, den: int, block:
     classes = materialize(rows.groupBy("b", "c").agg(F.min("id").alias("rep"), F.min("t").alias("t")), "classes")
     members = rows.select("id", "b", "c").distinct().join(classes.select("b", "c", "rep"), ["b", "c"]).select("id", "rep")
     long = classes.select("b", "rep", F.size("t").alias("n"), F.explode("t").alias("w"))
-    seen = long.groupBy("b", "w").agg(F.count("*").alias("f"))
+    # written out: a word that every set has then meets a plain exchange, which adaptive execution splits, or a broadcast by size
+    seen = materialize(long.groupBy("b", "w").agg(F.count("*").alias("f")), "frequencies")
     w = Window.partitionBy("rep", "b").orderBy("f", "w")
     ranked = long.join(seen, ["b", "w"]).withColumn("r", F.row_number().over(w))
     head = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("b", "w", "rep", "n")
@@ -62,7 +69,7 @@ def similar(df: DataFrame, id_col: str, tokens: str, num: int, den: int, block:
     cand = x.join(y, ["b", "w"]).where((F.col("id_a") < F.col("id_b")) & sizes).select("b", "id_a", "id_b").distinct()
     sets = classes.select("b", "rep", "t")
     pairs = cand.join(sets.select("b", F.col("rep").alias("id_a"), F.col("t").alias("ta")), ["b", "id_a"]).join(sets.select("b", F.col("rep").alias("id_b"), F.col("t").alias("tb")), ["b", "id_b"])
-    pairs = pairs.select("id_a", "id_b", F.size(F.array_intersect("ta", "tb")).alias("both"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
+    pairs = computed_once(pairs, both=F.size(F.array_intersect("ta", "tb"))).select("id_a", "id_b", "both", F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
     return members, pairs.where(F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num)
 
 
@@ -110,16 +117,47 @@ def near_groups(df: DataFrame, id_col: str, text: str, num: int, den: int, prefi
     return led.join(ids, "leader").select("id", "leader", F.round("sim", 6).alias("sim"), "near_group")
 
 
-def vector_pairs(df: DataFrame, id_col: str, block: str, vector: str, least: float) -> DataFrame:
-    """(id_a, id_b, sim): pairs within a block with cosine >= least; block sizes are the caller's to bound."""
-    x = df.select(F.col(id_col).alias("id_a"), F.col(block).alias("k"), F.col(vector).alias("va"))
-    y = df.select(F.col(id_col).alias("id_b"), F.col(block).alias("k"), F.col(vector).alias("vb"))
-    p = x.join(y, "k").where("id_a < id_b").withColumn("sim", cosine(F.col("va"), F.col("vb")))
-    return p.where(F.col("sim") >= least).select("id_a", "id_b", "sim")
+def vector_pairs(df: DataFrame, id_col: str, block: str, vector: str, least: float, lost: float = 1e-4, seed: int = 42) -> DataFrame:
+    """(id_a, id_b, sim): pairs of unit vectors within a block with cosine >= least.
+
+    Random hyperplanes cut every vector into bands of sign bits; vectors that share a band are compared exactly. Bits and bands follow
+    from the threshold: two vectors at the angle of the threshold agree in a bit with probability p = 1 - angle / pi; a quarter
+    of their bands agree, and there are enough bands to lose a pair there with probability `lost` only. Work grows with the vectors
+    that are near each other and, by p^bits, with the square of a block; low thresholds leave few bits and compare nearly everything.
+    Null ids, blocks and vectors take part in nothing; repeated ids give their pairs once.
+    """
+    if not 0 < least < 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    x = df.where(F.col(id_col).isNotNull() & F.col(block).isNotNull() & (F.size(vector) > 0)).select(F.col(id_col).alias("id"), F.col(block).alias("k"), F.col(vector).alias("v"))
+    p = 1 - math.acos(least) / math.pi
+    bits = max(1, round(math.log(0.25) / math.log(p)))
+    bands = math.ceil(math.log(lost) / math.log1p(-(p**bits)))
+    kind = x.schema["id"].dataType
+
+    def run(batches):
+        planes = None
+        for batch in batches:
+            v = batch.column(2)
+            size = len(v[0]) if len(v) else 0
+            m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size) if size else np.zeros((0, 1))
+            if planes is None or planes.shape[0] != m.shape[1]:
+                planes = np.random.default_rng(seed).standard_normal((m.shape[1], bits * bands))
+            signs = (m @ planes > 0).reshape(len(m), bands, bits)
+            key = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2) + (np.arange(bands, dtype=np.int64) << bits)
+            at = pa.array(np.repeat(np.arange(len(m)), bands))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key.ravel())], ["id", "k", "band"])
+
+    schema = T_.StructType([T_.StructField("id", kind), T_.StructField("k", x.schema["k"].dataType), T_.StructField("band", T_.LongType())])
+    keys = x.mapInArrow(run, schema)
+    met = keys.select(F.col("id").alias("id_a"), "k", "band").join(keys.select(F.col("id").alias("id_b"), "k", "band"), ["k", "band"]).where("id_a < id_b").select("k", "id_a", "id_b").distinct()
+    va, vb = x.select("k", F.col("id").alias("id_a"), F.col("v").alias("va")), x.select("k", F.col("id").alias("id_b"), F.col("v").alias("vb"))
+    sim = computed_once(met.join(va, ["k", "id_a"]).join(vb, ["k", "id_b"]), sim=cosine(F.col("va"), F.col("vb")))
+    return sim.where(F.col("sim") >= least).select("id_a", "id_b", "sim").distinct()
 
 
 def merge_entries(df: DataFrame, keys: list[Column], ids: str, *order: str) -> DataFrame:
-    """Rows equal in all keys become one: the first row, the sorted union of their id arrays, their number."""
+    """Rows equal in all keys become one: the first row, the sorted union of their id arrays, their number. The union grows with the
+    group: where groups have no bound, take entry_classes() and entry_ids()."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     rest = [c for c in df.columns if c != ids]
     g = df.select(*df.columns, *named).groupBy(*[f"_k{i}" for i in range(len(keys))])
@@ -127,6 +165,20 @@ def merge_entries(df: DataFrame, keys: list[Column], ids: str, *order: str) -> D
     return out.select(*[F.col(f"r.{c}").alias(c) for c in rest], ids, "n_merged")
 
 
+def entry_classes(df: DataFrame, keys: list[Column], id_col: str) -> tuple[DataFrame, DataFrame]:
+    """classes(representative, n_members) and members(id, representative) of rows equal in all keys; the representative is the
+    smallest id. One row for each class and one for each id, whatever the size of a class; null keys are equal, null ids left out."""
+    x = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})).alias("_k")).distinct()
+    classes = materialize(x.groupBy("_k").agg(F.min("id").alias("representative"), F.count("*").alias("n_members")), "classes")
+    return classes.drop("_k"), x.join(classes.select("_k", "representative"), "_k").select("id", "representative")
+
+
+def entry_ids(members: DataFrame, df: DataFrame, id_col: str, ids: str) -> DataFrame:
+    """(representative, cited): the distinct ids that the members of each class cite, one row for each."""
+    cited = df.select(F.col(id_col).alias("id"), F.explode(ids).alias("cited"))
+    return members.join(cited, "id").select("representative", "cited").distinct()
+
+
 def distinct_entries(entries: DataFrame, id_col: str, ids: str, category: str, text: str, num: int = 85, den: int = 100) -> DataFrame:
     """(clause_id, id): of the entries that cite one clause, every category keeps those that aren't near-duplicates (by Jaccard)
     of an entry kept before, in id order."""
@@ -138,7 +190,20 @@ def distinct_entries(entries: DataFrame, id_col: str, ids: str, category: str, t
 
 
 def tfidf_pairs(weights: DataFrame, least: float) -> DataFrame:
-    """(id_a, id_b, sim) from (id, term, weight) with unit norm: cosine over shared terms, at least `least`."""
-    x, y = weights.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("wa")), weights.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("wb"))
-    p = x.join(y, "term").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    return p.where(F.col("sim") >= least)
+    """(id_a, id_b, sim) from (id, term, weight) with unit norm and no negative weight: cosine, at least `least`.
+
+    Prefix filter: with rare terms first, a record's terms are cut off where the norm of the rest falls
+    below the threshold; a pair that reaches it shares a term before the cut, since the rest can't bring more than its
+    norm. Only these terms are joined, and every candidate is then computed over all terms."""
+    if not 0 < least <= 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    weights = materialize(weights.select("id", "term", "weight"), "weights")
+    seen = materialize(weights.groupBy("term").agg(F.count("*").alias("f")), "frequencies")
+    rest = Window.partitionBy("id").orderBy(F.col("f").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    head = weights.join(seen, "term").withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(rest))
+    head = head.where(F.col("_rest") >= least * least * (1 - 1e-9)).select("id", "term")
+    met = head.select(F.col("id").alias("id_a"), "term").join(head.select(F.col("id").alias("id_b"), "term"), "term").where("id_a < id_b").select("id_a", "id_b").distinct()
+    bags = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("bag"))  # as large as one record
+    x = met.join(bags.select(F.col("id").alias("id_a"), F.col("bag").alias("ba")), "id_a").join(bags.select(F.col("id").alias("id_b"), F.col("bag").alias("bb")), "id_b")
+    dot = F.aggregate(F.map_entries("ba"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("bb"), e["key"]), F.lit(0.0)))
+    return computed_once(x, sim=dot).where(F.col("sim") >= least).select("id_a", "id_b", "sim")

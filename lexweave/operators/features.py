@@ -65,6 +65,24 @@ def actionability(c: Column) -> dict[str, Column]:
     }
 
 
+def presence(c: Column) -> dict[str, Column]:
+    """The eight presence features by name: how many of each list's terms the text contains (not how often), whether it points
+    somewhere, its length in hundreds of words, and the share of action among action and hedging."""
+    n = {k: terms_present(c, getattr(L, "PRESENCE_" + k.upper())) for k in ("hedges", "actions", "requirements", "commitments", "mechanisms")}
+    acts = n["actions"] + n["mechanisms"] + n["commitments"]
+    points = F.greatest(*[F.contains(_t(c), F.lit(x)).cast("int") for x in (">", "http", "@")], F.contains(F.lower(_t(c)), F.lit("click")).cast("int"))
+    return {
+        "hedges": n["hedges"],
+        "actions": n["actions"],
+        "has_pointer": points,
+        "length": word_count(c) / 100.0,
+        "requirements": n["requirements"],
+        "commitments": n["commitments"],
+        "mechanisms": n["mechanisms"],
+        "action_share": acts / F.greatest(F.lit(1), n["hedges"] + acts),
+    }
+
+
 def robust_scale(df: DataFrame, columns: list[str], fit_on: Column) -> DataFrame:
     """(x - median) / IQR with exact percentiles over the rows where fit_on holds; an IQR of 0 divides by 1."""
     p = [F.percentile(F.when(fit_on, F.col(c)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,34 @@ def perceptron(df: DataFrame, text: str, label: str, classes: int, hidden: int =
     return Pipeline(stages=[*front, MultilayerPerceptronClassifier(layers=[len(names), hidden, classes], seed=seed, maxIter=50)]).fit(x)
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Writes a fitted pipeline, its labels with it; an existing one at the path is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def ensemble(members: list[tuple[PipelineModel, float]], df: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(id, guess, score): the label with the largest weighted mean of the members' class probabilities (ties: the first label). A
+    member without probabilities, such as a one-against-rest machine, brings the softmax of its scores. Members must know the same labels."""
+    labels = members[0][0].stages[0].labels
+    total = None
+    for model, weight in members:
+        if model.stages[0].labels != labels:
+            raise ValueError("the members have different labels")
+        got = PipelineModel(model.stages[1:]).transform(with_features(df, text))
+        raw = vector_to_array("probability" if "probability" in got.columns else "rawPrediction")
+        e = F.transform(raw, lambda x: F.exp(x))
+        p = raw if "probability" in got.columns else F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+        one = got.select(F.col(id_col).alias("id"), F.transform(p, lambda x: x * F.lit(weight)).alias("p"))
+        total = one if total is None else total.unionByName(one)
+    sums = total.groupBy("id").agg(*[F.round(F.sum(F.get("p", F.lit(i))), 9).alias(f"_{i}") for i in range(len(labels))])
+    best = F.greatest(*[F.struct(F.col(f"_{i}").alias("s"), F.lit(-i).alias("i"), F.lit(x).alias("l")) for i, x in enumerate(labels)])
+    return sums.select("id", best.l.alias("guess"), (best.s / sum(w for _, w in members)).alias("score"))
+
+
 def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
     """df with guess: the label of the largest score."""
     names = model.stages[0].labels

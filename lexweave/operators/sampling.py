@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.session import materialize
+
 
 def draw(id_col: str, seed: int) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col)), 256)
 
 
 def _ranked(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(draw(id_col, seed), id_col)
-    return df.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
+    """Adds _r, the place within the class, and _n, the class's size. Rows are range-partitioned by class and hash, and counted by
+    class and partition, so a class that has most rows is spread over as many tasks as it needs."""
+    order = [F.col(label), F.col("_d"), F.col(id_col)]
+    placed = df.withColumn("_d", draw(id_col, seed)).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.drop("_d").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "placed")
+    shares = placed.groupBy(F.col(label).alias("_l"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"), F.min("_row").alias("_first"))
+    before = Window.partitionBy("_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of a class
+    shares = shares.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy("_l")))
+    shares = materialize(shares.drop("_c"), "shares")
+    x = placed.join(shares, (F.col("_part") == F.col("_p")) & F.col(label).eqNullSafe(F.col("_l")))
+    return x.withColumn("_r", F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_l", "_p", "_first", "_before")
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, seed: int = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import lexicons as L
-from lexweave.operators.routing import checked_rules
+from lexweave.functions.keys import reject_missing
+from lexweave.operators import segment
+from lexweave.operators.routing import against_rules
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -38,11 +40,11 @@ def document_quality(pages: DataFrame, doc: str = "doc", page: str = "page_numbe
 def rule_points(labels: DataFrame, rules: DataFrame, owner: str, rule: str = "best_match_taxonomy_id", group: str = "act") -> DataFrame:
     """(owner, group, rule, points) over every owner and rule: 1 if any label is Compliant, 0.5 if any is Partially Compliant, else 0.
 
-    Only found combinations are aggregated; the dense grid is the (small, checked) rule list joined to the owners.
+    Only found combinations are aggregated; the dense grid is the rule list held against the owners.
     """
     got = labels.groupBy(F.col(owner).alias("owner"), F.col(rule).alias("rule")).agg(F.max(verdict_score(F.col("verdict"))).alias("points"))
     owners = labels.where(F.col(owner).isNotNull()).select(F.col(owner).alias("owner")).distinct()
-    grid = owners.crossJoin(checked_rules(rules.select(F.col("taxonomy_id").alias("rule"), F.col(group).alias("grp")).distinct()))
+    grid = against_rules(owners, rules.select(F.col("taxonomy_id").alias("rule"), F.col(group).alias("grp")).distinct())
     return grid.join(got, ["owner", "rule"], "left").withColumn("points", F.coalesce("points", F.lit(0.0)))
 
 
@@ -94,6 +96,21 @@ def band(c: Column) -> Column:
     return F.when(c >= 25, "high").when(c >= 10, "medium").otherwise("low")
 
 
+def metrics_card(summary: DataFrame, name: str, kind: str, needed: tuple[str, ...] = ("accuracy", "macro_f1")) -> DataFrame:
+    """One row (name, kind, the needed figures) of a metrics summary; fails if a figure is missing rather than to make one up."""
+    reject_missing(summary, *needed)
+    row = summary.select(*needed).limit(1)
+    figures = row.first()
+    if figures is None or any(v is None for v in figures):
+        raise ValueError("the metrics have no values")
+    return row.select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), *needed)
+
+
+def placed(rankings: DataFrame, score: str = "effective", tie: str = "owner") -> DataFrame:
+    """rankings with `place` from 1, the best score first; ties by name, nulls last."""
+    return segment.numbered(rankings, F.col(score).desc_nulls_last(), F.col(tie), name="place")
+
+
 def bucket_summary(df: DataFrame, *columns: str) -> DataFrame:
     """One row: number of rows and, for each column, its values with their counts as a map."""
     parts = None

@@ -23,39 +23,34 @@ def parse_ids(c: Column) -> Column:
     return F.coalesce(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def _balanced(text: str, start: int):
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)):
-        ch = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = ch == "\\", ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch in "[]":
-            depth += 1 if ch == "[" else -1
-            if not depth:
-                return json.loads(text[start : i + 1])
-    raise ValueError("no end")
+THOUGHTS = re.compile("<think>.*?</think>", re.DOTALL)
 
 
-def first_array(text: str | None) -> list | None:
-    """The first balanced JSON array of a model's answer, without <think> parts; else the first list inside an object."""
-    text = re.sub(r"<think>.*?</think>", "", text or "", flags=re.DOTALL).strip()
-    for at in [m.start() for m in re.finditer(r"\[", text)][:1] or []:
-        try:
-            return _balanced(text, at)
-        except ValueError:
-            pass
-    at = text.find("{")
-    if at >= 0:
+def _decoded(text: str, opening: str):
+    """The JSON values that begin at occurrences of the opening bracket, from left to right; what one holds isn't looked at again."""
+    decoder = json.JSONDecoder()  # made here, for it can't be sent to workers
+    at = text.find(opening)
+    while at >= 0:
         try:
-            whole = json.loads(text[at:])
+            value, end = decoder.raw_decode(text, at)
         except ValueError:
-            return None
-        return next((v for v in whole.values() if isinstance(v, list)), None)
-    return None
+            value, end = None, at + 1
+        if value is not None:
+            yield value
+        at = text.find(opening, end)
+
+
+def first_array(text: str | None) -> list | None:
+    """The list in a model's answer: the first JSON list that stands on its own, thoughts set aside; text before and after it
+    doesn't matter. Where the answer is an object, its first member that is a list. None if there is neither."""
+    plain = THOUGHTS.sub("", text or "")
+    brace, bracket = plain.find("{"), plain.find("[")
+    if 0 <= brace < bracket or bracket < 0:
+        for whole in _decoded(plain, "{"):
+            held = [v for v in whole.values() if isinstance(v, list)]
+            if held:
+                return held[0]
+    return next(_decoded(plain, "["), None)
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -69,10 +64,24 @@ def parse_array(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def parsed_entries(c: Column) -> Column:
+    """A model's answer -> an array of (entry, problem): each element as a map of its fields' JSON texts, or what is wrong with its form."""
+    made = F.transform(parse_array(c), lambda x: F.struct(F.from_json(x, "map<string,string>").alias("entry"), x.alias("json")))
+
+    def judged(e):
+        lacking = F.array_except(F.array(*map(F.lit, L.ENTRY_FIELDS)), F.map_keys(e["entry"]))
+        problem = F.when(~e["json"].startswith("{"), "entry is not an object").when(F.size(lacking) > 0, F.concat(F.lit("missing fields: "), F.array_join(lacking, ", ")))
+        return F.struct(e["entry"].alias("entry"), problem.alias("problem"))
+
+    return F.transform(made, judged)
+
+
 def entry_error(allowed: list[str], known_ids: str = "known_ids", confidence: str = "citation_confidence") -> Column:
-    """The first rule that an entry breaks, null if none; known_ids is an array column of the ids the entry may cite."""
+    """The first rule that an entry breaks, null if none; known_ids is an array column of the ids the entry may cite. The weight
+    may be a number or a text."""
     s = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("category", "requirement", "source", "checkable_test", "applicability", "assessability")}
-    ids = F.col("source_clause_ids")
+    ids = F.transform("source_clause_ids", lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    weight = F.trim(F.col("weight").cast("string"))
     return (
         F.when(~s["category"].isin(*allowed), "invalid category")
         .when(F.length(s["requirement"]) < 15, "requirement is empty or too short")
@@ -82,14 +91,47 @@ def entry_error(allowed: list[str], known_ids: str = "known_ids", confidence: st
         .when(s["assessability"] == "", "assessability is empty")
         .when(~F.lower(F.trim(F.coalesce(F.col(confidence), F.lit("")))).isin(*L.CONFIDENCES), "invalid citation_confidence")
         .when(s["source"].rlike("(?i)" + L.FILE_NAME), "source looks like a filename")
-        .when(~F.coalesce(F.col("weight").isin(*L.WEIGHTS), F.lit(False)), "invalid weight")
-        .when(F.coalesce(F.size(ids), F.lit(0)) < 1, "source_clause_ids is empty")
-        .when(F.exists(ids, lambda x: F.trim(x) == ""), "source_clause_ids contains an empty ID")
+        .when(~F.coalesce(weight.rlike(r"\A[+-]?[0-9]+\z"), F.lit(False)), "weight is not an integer")
+        .when(~F.coalesce(weight.try_cast("int").isin(*L.WEIGHTS), F.lit(False)), "invalid weight")
+        .when(F.coalesce(F.size("source_clause_ids"), F.lit(0)) < 1, "source_clause_ids is empty")
+        .when(F.exists(ids, lambda x: x == ""), "source_clause_ids contains an empty ID")
         .when(F.size(F.array_except(ids, known_ids)) > 0, "source_clause_ids outside the batch")
         .when(F.size(F.array_distinct(ids)) < F.size(ids), "source_clause_ids contains duplicates")
     )
 
 
+def label_schema(clause_ids: Column, rule_ids: Column, verdicts: list[str]) -> Column:
+    """The JSON schema that an answer for these clauses must keep to: an array of objects whose clause, rule (or NONE) and verdict are
+    drawn from the given ones. Arrays of texts in, JSON text out."""
+    text = F.struct(F.lit("string").alias("type"))
+    one_of = lambda a: F.struct(F.lit("string").alias("type"), a.alias("enum"))
+    names = ["clause_id", "best_match_taxonomy_id", "verdict", "justification"]
+    kinds = [one_of(clause_ids), one_of(F.concat(F.array(F.lit("NONE")), F.array_sort(F.array_distinct(rule_ids)))), one_of(F.array(*map(F.lit, verdicts))), text]
+    items = F.struct(F.lit("object").alias("type"), F.struct(*[k.alias(n) for n, k in zip(names, kinds)]).alias("properties"), F.array(*map(F.lit, names)).alias("required"))
+    return F.to_json(F.struct(F.lit("array").alias("type"), items.alias("items")))
+
+
+def gates(category: Column, text: Column, rules: list[tuple[str, str | None, str, str]]) -> tuple[Column, Column]:
+    """(required, excluded) concept texts of the first rule that fits: rules are (category, pattern that the lower-cased text must hold
+    or None, required, excluded), in order. A record without a fitting rule gets two empty texts."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = []
+    for k in (2, 3):
+        col = None
+        for rule in rules:
+            fits = category == rule[0]
+            fits = fits & low.rlike(rule[1]) if rule[1] else fits
+            col = (F if col is None else col).when(fits, F.lit(rule[k]))
+        out.append(F.lit("") if col is None else col.otherwise(""))
+    return out[0], out[1]
+
+
+def out_of_scope(patterns: list[str], *texts: Column) -> Column:
+    """Whether any of the patterns occurs in the texts, joined by spaces; case doesn't matter, nulls count as ''."""
+    joined = F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts])
+    return joined.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
 def provenance(rules: DataFrame, clauses: DataFrame, rule_id: str = "taxonomy_id", ids: str = "source_clause_ids", act: str = "source_act") -> DataFrame:
     """(rule_id, source_acts, missing_ids, resolved_act): the acts of a rule's source clauses, one act, MULTI_ACT__... or UNRESOLVED."""
     one = rules.select(rule_id, F.explode_outer(F.array_distinct(ids)).alias("clause_id"))

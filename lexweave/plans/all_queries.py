@@ -1,5 +1,8 @@
 """Every query of the core, in one list."""
 
-from lexweave.plans import report_queries, structure_queries, text_queries
+from dataclasses import replace
 
-QUERIES = [*text_queries.QUERIES, *structure_queries.QUERIES, *report_queries.QUERIES]
+from lexweave.plans import extended_queries, report_queries, structure_queries, text_queries
+
+QUERIES = [*text_queries.QUERIES, *structure_queries.QUERIES, *report_queries.QUERIES, *extended_queries.QUERIES]
+QUERIES = [replace(q, sql=extended_queries.SQL.get(q.name, q.sql)) for q in QUERIES]

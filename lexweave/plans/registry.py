@@ -32,8 +32,13 @@ def sql_display(c: str) -> str:
     return f"coalesce({sql_line(c)}, '')"
 
 
+FORMS = {"\u00ad": "", "\u2026": "...", "\u2011": "\u2010", "\ufb01": "fi"}  # the compatibility forms that the tables have
+
+
 def sql_canonical(c: str) -> str:
-    return f"lower({sql_display(f'replace({c}, chr(173), chr(32)[1:0])')})".replace("chr(32)[1:0]", "''")
+    for a, b in FORMS.items():
+        c = f"replace({c}, {lit(a)}, {lit(b)})"
+    return f"lower({sql_display(c)})"
 
 
 def sql_joined(c: str) -> str:

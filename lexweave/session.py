@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import datetime
 import math
 import tempfile
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(cores: int | str = "*", name: str = "lexweave") -> SparkSession:
@@ -94,6 +96,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_stamp(now: datetime.datetime | None = None) -> Column:
+    """The time of the run as text (UTC, ISO 8601, whole seconds): a literal, so every row and every retry has the same."""
+    at = (now or datetime.datetime.now(datetime.UTC)).astimezone(datetime.UTC).replace(microsecond=0)
+    return F.lit(at.isoformat())
+
+
 def rows_of(df: DataFrame) -> int:
     """Row count; of a materialised table it comes from the Parquet footers."""
     return df.count()

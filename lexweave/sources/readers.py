@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions import text as T
 from lexweave.functions.keys import reject_missing
 
 PAGE_SCHEMA = "doc string, page_number int, text string, extraction_method string, char_count int, needs_ocr boolean, warning string, file_sha256 string"
@@ -23,9 +24,10 @@ def records(df: DataFrame, key: str = "clause_id", text: str = "clause_text") ->
     return df.where(F.col(key).isNotNull()).withColumn(text, F.coalesce(text, F.lit("")))
 
 
-def read_csv(spark: SparkSession, path: str, key: str = "clause_id", text: str = "clause_text") -> DataFrame:
-    """CSV with all columns as strings (nothing is inferred) and quoted line breaks."""
-    return records(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), key, text)
+def read_csv(spark: SparkSession, path: str, key: str = "clause_id", text: str = "clause_text", line_breaks: bool = True) -> DataFrame:
+    """CSV with all columns as strings (nothing is inferred), with or without a byte order mark. With line_breaks, quoted values may hold
+    them, and every file is read by one task; large files without such values are split over tasks with line_breaks=False."""
+    return records(spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path), key, text)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -52,6 +54,30 @@ def _struct(schema: str) -> str:
     return ", ".join(f"{a}: {b}" for a, b in (p.strip().split(" ", 1) for p in _parts(schema)))
 
 
+def union_of_splits(spark: SparkSession, *paths: str, key: str = "clause_id", fallback: str | None = None) -> DataFrame:
+    """The tables of all paths that exist, one after the other: of rows with the same key, the one of the first path that has it (any one
+    within a path). Columns that a table lacks are null. If none exists, the fallback's table, likewise; else an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = lambda p: (path := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(path)
+    found = [p for p in paths if there(p)] or ([fallback] if fallback and there(fallback) else [])
+    if not found:
+        raise FileNotFoundError(", ".join([*paths, *([fallback] if fallback else [])]))
+    out = None
+    for n, p in enumerate(found):
+        part = spark.read.parquet(p).withColumn("_from", F.lit(n))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    names = [c for c in out.columns if c != "_from"]
+    first = out.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*names), "_from").alias("_r"))
+    return first.select(*[F.col("_r").getField(c).alias(c) for c in names])
+
+
+def load_rules(rules: DataFrame, order: str, retired: tuple[str, ...] = (), key: str = "taxonomy_id", texts: tuple[str, ...] = ("requirement", "checkable_test")) -> DataFrame:
+    """Rules without the retired ids; of an id that stands twice the first row by order, whole; texts with white space squeezed."""
+    live = rules.where(F.col(key).isNotNull() & ~F.col(key).isin(*retired)) if retired else rules.where(F.col(key).isNotNull())
+    first = live.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rules.columns), order).alias("_r"))
+    return first.select(*[(T.display(F.col("_r").getField(c)) if c in texts else F.col("_r").getField(c)).alias(c) for c in rules.columns])
+
+
 def unique_key(df: DataFrame, key: str) -> DataFrame:
     """df, if no key stands twice; else an error that names one."""
     twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
