@@ -56,10 +56,8 @@ def canonical(c: Column) -> Column:
     """Compatibility forms (NFKC) in place of ligatures, full-width letters, superscripts and the like, no soft hyphens, white space
     squeezed, lower case; null gives ''. Texts with combining marks or rarer expansions need canonical_nfkc(), which calls Python for them."""
     x = F.translate(c, WIDE + _FORMS[0] + "\u00ad", " " * len(WIDE) + _FORMS[1])  # the soft hyphen has no counterpart, so it goes
-    more = x
-    for ch in LONGER:
-        more = F.replace(more, F.lit(ch), F.lit(unicodedata.normalize("NFKC", ch).casefold()))
-    x = F.when(x.rlike(f"[{LONGER}]"), more).otherwise(x)
+    for ch in LONGER:  # x is named once: copies of it would be worked out again
+        x = F.replace(x, F.lit(ch), F.lit(unicodedata.normalize("NFKC", ch).casefold()))
     return F.coalesce(F.lower(F.trim(F.regexp_replace(x, "[ \t\n\x0b\f\r]+", " "))), F.lit(""))
 
 

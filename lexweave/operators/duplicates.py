@@ -73,25 +73,52 @@ def similar(df: DataFrame, id_col: str, tokens: str, num: int, den: int, block:
     return members, pairs.where(F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num)
 
 
-def leaders(ids: DataFrame, pairs: DataFrame, best: bool = True) -> DataFrame:
+TAIL = 500_000  # undecided rows, and four times as many pairs of them, that one task may settle
+
+
+def _settle(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The leaders among ids, in one task, row after row: pairs(id_a < id_b) of them. The caller bounds both."""
+    schema = T_.StructType([T_.StructField("id", ids.schema["id"].dataType)])
+    earlier = pairs.groupBy(F.col("id_b").alias("id")).agg(F.collect_list("id_a").alias("before"))
+
+    def run(batches):
+        lead: set = set()
+        for batch in batches:
+            new = []
+            for i, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lead.isdisjoint(before or ()):
+                    lead.add(i)
+                    new.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(new, batch.column(0).type)], ["id"])
+
+    return ids.join(earlier, "id", "left").repartition(1).sortWithinPartitions("id").mapInArrow(run, schema)
+
+
+def leaders(ids: DataFrame, pairs: DataFrame, best: bool = True, tail: int = TAIL) -> DataFrame:
     """Greedy leaders in id order: ids(id), pairs(id_a < id_b, sim) -> (id, leader, sim).
 
     A row is a leader if no earlier leader is its neighbour (the lexicographically first maximal independent set). Others join the
-    most similar leader (ties: the earliest), or the earliest one with best=False. Rounds settle every row whose earlier
-    neighbours are settled; no group is gathered in one place.
+    most similar leader (ties: the earliest), or the earliest one with best=False. A round settles every row whose earlier neighbours
+    are settled, which leaves ever fewer rows; once at most `tail` are left (with at most four times as many pairs), one task settles
+    these in order. Rounds are thus spent only on what is larger than that: a chain of neighbours of tail + 2 n rows takes n of them.
     """
     pairs = materialize(pairs.select("id_a", "id_b", "sim"), "pairs")
-    lead = materialize(ids.select("id").join(pairs.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti"), "leaders")
-    open_ = materialize(pairs.select(F.col("id_b").alias("id")).distinct(), "open")
-    left = open_.count()
-    fell = None
-    while left:
+    later = pairs.select(F.col("id_b").alias("id")).distinct()
+    lead = materialize(ids.select("id").join(later, "id", "left_anti"), "leaders")
+    rest, fell = materialize(later, "open"), None
+    while True:
         hit = pairs.join(lead.withColumnRenamed("id", "id_a"), "id_a").select(F.col("id_b").alias("id")).distinct()
         fell = materialize(hit if fell is None else hit.union(fell).distinct(), "fell")
-        rest = materialize(open_.join(fell, "id", "left_anti").join(lead, "id", "left_anti"), "open")
-        blocked = pairs.join(rest.withColumnRenamed("id", "id_a"), "id_a", "left_semi").select(F.col("id_b").alias("id")).distinct()
-        lead = materialize(lead.union(rest.join(blocked, "id", "left_anti")), "leaders")
-        open_, left = rest.join(lead, "id", "left_anti"), rest.count()
+        rest = materialize(rest.join(fell, "id", "left_anti").join(lead, "id", "left_anti"), "open")
+        n = rest.count()
+        if not n:
+            break
+        among = pairs.join(rest.withColumnRenamed("id", "id_a"), "id_a", "left_semi").join(rest.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
+        among = materialize(among.select("id_a", "id_b"), "among")
+        if n <= tail and among.count() <= 4 * tail:
+            lead = materialize(lead.union(_settle(rest, among)), "leaders")
+            break
+        lead = materialize(lead.union(rest.join(among.select(F.col("id_b").alias("id")), "id", "left_anti")), "leaders")
     follow = pairs.join(lead.withColumnRenamed("id", "id_a"), "id_a").join(lead.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
     order = [F.col("sim").desc(), F.col("id_a")] if best else [F.col("id_a")]
     w = Window.partitionBy("id_b").orderBy(*order)

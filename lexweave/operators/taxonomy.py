@@ -154,7 +154,7 @@ def act_code(c: Column) -> Column:
 def review_flags(requirement: Column, category: Column, test: Column, acts: Column, missing: Column) -> Column:
     """Flags in order."""
     blank = lambda c: F.coalesce(T.display(c), F.lit("")) == ""
-    of = T.canonical_dash(F.concat_ws(" ", requirement, test))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  # the text is worked out once, not for each term
     return F.array_compact(
         F.array(
             F.when(blank(requirement), "missing_requirement"),
@@ -163,8 +163,8 @@ def review_flags(requirement: Column, category: Column, test: Column, acts: Colu
             F.when(F.size(missing) > 0, "missing_source_clause_ids"),
             F.when(F.size(acts) == 0, "no_resolved_source_act"),
             F.when(F.size(acts) > 1, "multi_act_provenance"),
-            F.when(~S.any_term(of, L.CHECKABILITY), "low_policy_checkability_signal"),
-            F.when(S.any_term(T.canonical_dash(requirement), L.INSTITUTIONAL), "possible_institutional_or_administrative_content"),
+            once(T.canonical_dash(F.concat_ws(" ", requirement, test)), lambda x: F.when(~S.any_term(x, L.CHECKABILITY), "low_policy_checkability_signal")),
+            once(T.canonical_dash(requirement), lambda x: F.when(S.any_term(x, L.INSTITUTIONAL), "possible_institutional_or_administrative_content")),
         )
     )
 

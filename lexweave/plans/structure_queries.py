@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import lexicons as L
 from lexweave.functions import text as T
+from lexweave.functions.keys import computed_once
 from lexweave.operators import curation, duplicates, routing, segment, taxonomy
 from lexweave.plans.registry import Query, lit, sql_any, sql_canonical, sql_display, sql_heading, sql_joined, sql_line, sql_list, table
 
@@ -210,8 +211,8 @@ FLAGS_SQL = (
 def _flags(spark, d):
     p = taxonomy.provenance(table(spark, d, "rules"), table(spark, d, SC))
     x = table(spark, d, "rules").join(p, "taxonomy_id")
-    f = taxonomy.review_flags(F.col("requirement"), F.col("category"), F.col("checkable_test"), F.col("source_acts"), F.col("missing_ids"))
-    return x.select("taxonomy_id", F.array_join(f, "|").alias("flags"), taxonomy.recommended(f).alias("action"))
+    x = computed_once(x, f=taxonomy.review_flags(F.col("requirement"), F.col("category"), F.col("checkable_test"), F.col("source_acts"), F.col("missing_ids")))
+    return x.select("taxonomy_id", F.array_join("f", "|").alias("flags"), taxonomy.recommended(F.col("f")).alias("action"))
 
 
 def _entries(spark, d):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import models, scorecard
@@ -46,10 +47,14 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     sinks.partitioned(df, "k", str(tmp_path / "parts"))
     assert {p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()} == {"k_key=a_b", "k_key=c"}
-    for n in (2, 3):
+    for n in (2, 3, 4):
         sinks.replace_atomically(spark.range(n), str(tmp_path / "table"))
-        assert spark.read.parquet(str(tmp_path / "table")).count() == n
+        with pytest.raises(Exception):  # a write that fails leaves the table as it is
+            sinks.replace_atomically(spark.range(5).select(F.raise_error(F.lit("no")).cast("int").alias("id")), str(tmp_path / "table"))
+        assert sinks.read_current(spark, str(tmp_path / "table")).count() == n
     assert {p.name for p in tmp_path.iterdir()} == {"csv", "json", "parts", "table"}
+    sinks.export_csv(df, str(tmp_path / "bom"), bom=True)
+    assert all(f.read_bytes().startswith(b'"\xef\xbb\xbfk"') or not f.stat().st_size for f in (tmp_path / "bom").glob("*.csv"))
     kept, review = sinks.side_outputs(df.withColumn("why", F.when(F.col("k") == "c", "x")), "why")
     assert (kept.count(), review.count()) == (1, 1)
 

@@ -1,5 +1,7 @@
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,8 @@ def test_provenance_and_parsing(spark):
     df = spark.createDataFrame([('["a", " b "]',), ("a, b,",), ("",), (None,), ("[broken",)], "t string")
     assert [r[0] for r in df.select(taxonomy.parse_ids(F.col("t"))).collect()] == [["a", "b"], ["a", "b"], [], [], ["[broken"]]
     assert taxonomy.first_array('<think>[1]</think> x [{"a": "]"}] y') == [{"a": "]"}]
+    assert taxonomy.first_array('Sure: {"note": "x", "items": [{"a": 1}], "more": [2]} and [3]') == [{"a": 1}] and taxonomy.first_array("see [the list] below: [1, 2] end") == [1, 2]
+    assert taxonomy.first_array('{"a": 1} then [5]') == [5] and taxonomy.first_array(None) is None and taxonomy.first_array("<think>[1]</think>") is None
     assert taxonomy.first_array('{"items": [1, 2]}') == [1, 2] and taxonomy.first_array("none") is None and taxonomy.first_array('[{"a": 1}, {"b"') is None
 
 
@@ -155,8 +159,17 @@ def test_routing(spark):
     chosen = spark.createDataFrame([("c1", "a", 1)], "id string, rule_id string, place int")
     extra = spark.createDataFrame([("c1", "a", 1), ("c1", "b", 2), ("c2", "z", 1)], "id string, rule_id string, place int")
     assert rows(routing.fill(chosen, extra), "id", "place") == [("c1", "a", 1, "keyword"), ("c1", "b", 2, "semantic"), ("c2", "z", 1, "semantic")]
-    with pytest.raises(ValueError):
-        routing.checked_rules(spark.range(10), 5)
+    # rules in blocks of two give what they give in one
+    kept, routing.BROADCAST_RULES = routing.BROADCAST_RULES, 2
+    try:
+        blocks = routing.score_rules(recs, rules, "clause_id", "t", {"Erasure": ["delete"]})
+        assert rows(blocks, "id", "rule_id") == rows(scored, "id", "rule_id")
+    finally:
+        routing.BROADCAST_RULES = kept
+    gated = routing.score_rules(recs, rules, "clause_id", "t", {"Erasure": ["delete"]}, gated={"Erasure": (["please"], ["nothing"])})
+    assert {(r["rule_id"], r["score"]) for r in gated.collect()} == {("r1", 5), ("r3", 4), ("r4", 4)}
+    routed = spark.createDataFrame([("c1", "r1", 1, "keyword")], "id string, rule_id string, place bigint, kind string")
+    assert rows(routing.by_default(recs, "clause_id", routed, rules, ["Erasure"], 2), "id", "place") == [("c1", "r1", 1, "keyword")] + [(c, r, n, "default") for c in ("c2", "c3") for n, r in ((1, "r1"), (2, "r2"))]
 
 
 def test_labels(spark):
@@ -204,3 +217,65 @@ def test_members_give_the_links_of_copies(spark, tmp_path):
     pairs = {(r["id_a"], r["id_b"]) for r in run["dup_near_pairs"](spark, str(tmp_path)).collect()}
     links = {(x, y) for x in members for y in members if x < y and (members[x] == members[y] or tuple(sorted((members[x], members[y]))) in pairs)}
     assert links == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_entries_of_answers(spark):
+    full = {k: "x" for k in ("applicability", "assessability", "category", "checkable_test", "citation_confidence", "notes", "requirement", "source", "source_clause_ids", "weight")}
+    some = {k: v for k, v in full.items() if k not in ("notes", "weight")}
+    df = spark.createDataFrame([(json.dumps([full, some, "text", 3]),), ("nothing",), (None,)], "t string")
+    got = [r[0] for r in df.select(F.transform(taxonomy.parsed_entries(F.col("t")), lambda e: e["problem"])).collect()]
+    assert got == [[None, "missing fields: notes, weight", "entry is not an object", "entry is not an object"], None, None]
+
+
+def test_hot_keys_are_aggregated_or_split(spark):
+    """First rows and quotas come from aggregates, classes are numbered by ranges: no plan ranks the rows of a key in one window."""
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i % 5 == 0) for i in range(300)] + [(900, None, True), (0, "k0", True)], "id int, k string, ok boolean")
+    first = duplicates.first_per_key(df, F.col("k"), "id")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and first.count() == 102 and first.where("k = 'hot'").first()["id"] == 1 and first.where("k is null").count() == 1
+    q = curation.quota(df, ["k"], F.col("ok"), "id", F.lit(-1), "id")
+    assert q.where("id >= 0 and k = 'hot'").count() == 1 and q.where("k = 'k0' and id = 0").count() == 1 and q.count() == 302
+    n = sampling._ranked(df, "id", "k", 1)
+    assert sorted(r["_r"] for r in n.where("k = 'hot'").collect()) == list(range(1, 201)) and {r["_n"] for r in n.where("k = 'hot'").collect()} == {200}
+    assert n.where("k is null").first()["_r"] == 1 and sampling._ranked(df.limit(0), "id", "k", 1).count() == 0
+
+
+def test_vector_and_term_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((60, 16))
+    v[30:] = v[:30] + 0.35 * rng.standard_normal((30, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows_ = [(i, "hot" if i % 2 else "b", v[i].tolist()) for i in range(60)] + [(99, None, v[0].tolist()), (98, "b", None), (0, "b", v[0].tolist())]
+    df = spark.createDataFrame(rows_, "id int, k string, v array<double>").withColumn("band", F.lit("clash"))
+    for least in (0.3, 0.7, 0.9):
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and v[i] @ v[j] >= least}
+        assert {(r["id_a"], r["id_b"]) for r in duplicates.vector_pairs(df, "id", "k", "v", least).collect()} == want
+    assert duplicates.vector_pairs(df.limit(0), "id", "k", "v", 0.5).count() == 0
+    w = [[(rng.integers(0, 12), float(x)) for x in rng.random(4)] for _ in range(50)]
+    w = [{f"t{t}": x for t, x in r} for r in w]
+    w = [{t: x / sum(y * y for y in r.values()) ** 0.5 for t, x in r.items()} for r in w]
+    weights = spark.createDataFrame([(i, t, x) for i, r in enumerate(w) for t, x in r.items()], "id int, term string, weight double")
+    for least in (0.2, 0.8, 0.99):
+        want = {(i, j) for i in range(50) for j in range(i + 1, 50) if sum(x * w[j].get(t, 0) for t, x in w[i].items()) >= least}
+        assert {(r["id_a"], r["id_b"]) for r in duplicates.tfidf_pairs(weights, least).collect()} == want
+
+
+def test_leaders_of_a_long_chain(spark):
+    """Each row is like the next one only: every second one leads. One task settles what is small enough, rounds do the rest."""
+    for n, tail in ((2000, duplicates.TAIL), (14, 6)):
+        ids = spark.createDataFrame([(f"{i:05d}",) for i in range(n)], "id string")
+        pairs = spark.createDataFrame([(f"{i:05d}", f"{i + 1:05d}", 0.9) for i in range(n - 1)], "id_a string, id_b string, sim double")
+        got = {r["id"]: r["leader"] for r in duplicates.leaders(ids, pairs, tail=tail).collect()}
+        assert got == {f"{i:05d}": f"{i - i % 2:05d}" for i in range(n)}
+
+
+def test_calibration_and_intervals(spark):
+    df = spark.createDataFrame([(i, (i % 10) / 10, int((i * 7) % 10 < i % 10)) for i in range(400)], "id int, s double, hit int")
+    got = {round(r["s"], 1): r["calibrated"] for r in decisions.calibrated(df, df.union(spark.createDataFrame([(-1, 5.0, 0), (-2, None, 0)], df.schema)), "s", "hit").collect() if r["s"] is not None}
+    assert [got[k] for k in sorted(got)] == sorted(got.values()) and got[5.0] == got[0.9]
+    x = df.select("id", F.lit("a").alias("t"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("g"))
+    r = decisions.bootstrap_accuracy(x, "id", "t", "g", 60).first()
+    assert r["accuracy"] == 0.75 and 0.68 < r["low"] < 0.75 < r["high"] < 0.82
+    t = spark.createDataFrame([("a", "a", 3), ("a", "b", 1), ("b", "a", 2), ("b", "b", 4)], "truth string, guess string, n bigint")
+    assert abs(decisions.matthews(t).first()["mcc"] - 10 / 600**0.5) < 1e-9
+    assert decisions.matthews(t.where("truth = 'a' and guess = 'a'")).first()["mcc"] == 0
