@@ -54,10 +54,11 @@ def _forest(edges: DataFrame) -> DataFrame:
 def _star_round(edges: DataFrame) -> DataFrame:
     """Large star, then small star; both keep the components and bring every node nearer to its smallest one."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # written out: against an aggregate, the join of a hub's edges with its least neighbour couldn't be split
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     hung = down.join(least, "a")
     return (
         hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -67,7 +68,7 @@ def _star_round(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, limit: int = LIMIT, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
     """edges(a, b) of strings -> (node, root): root is the smallest node of node's component.
 
     Nodes without an edge don't appear; self-loops and repeated edges are allowed; null ends are dropped. An empty
@@ -90,14 +91,12 @@ def components(edges: DataFrame, limit: int = LIMIT, max_rounds: int = 60) -> Da
         n = smaller
     if n > limit:  # star contraction until nothing changes
         state = None
-        for _ in range(max_rounds):
+        while True:  # every round but the last hangs some node lower, so there is a last one
             at = materialize(_star_round(at), "star")
             now = at.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
             if state == tuple(now):
                 break
             state = tuple(now)
-        else:
-            raise RuntimeError("components didn't converge")
         return at.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
             at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
         )

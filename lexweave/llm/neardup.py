@@ -10,7 +10,7 @@ union-find.
 Rows and bands follow from the threshold: with r rows and b bands a pair of similarity s meets in a band with probability
 1 - (1 - s^r)^b, and b is the least number for which that is 0.9986 at the threshold itself; r is chosen so that about a fifth of
 the bands agree there. At 0.8 these are 7 rows and 28 bands, which give 0.99998 at 0.85 and more beyond. More rows meet fewer
-pairs below the threshold, for more bands: `rows` is a parameter.
+pairs below the threshold, for more bands: `rows` is a parameter, and grows by itself beyond MANY sets (rows_at).
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from lexweave.llm import setjoin
 from lexweave.llm.forest import components
 
 MET_AT_ONCE, LOST = 0.21, 0.0014
+MANY = 400_000_000
 
 
 def shape(num: int, den: int, rows: int | None = None) -> tuple[int, int]:
@@ -35,6 +36,12 @@ def shape(num: int, den: int, rows: int | None = None) -> tuple[int, int]:
     return rows, math.ceil(round(math.log(LOST) / math.log1p(-((num / den) ** rows)), 1))
 
 
+def rows_at(n: int, num: int, den: int) -> int:
+    """Rows of a band for n different sets: one more for every fourfold beyond MANY. Sets that share a template meet by s^rows, and their
+    pairs grow faster than the sets; up to MANY, comparing them costs less than the further registers would."""
+    return shape(num, den)[0] + max(0, math.ceil(math.log(n / MANY, 4)) if n else 0)
+
+
 def band_keys(rows: int, bands: int):
     def keys(flat, off, with_payload):
         regs = setjoin.registers(flat, off, max(rows * bands, setjoin.PAYLOAD if with_payload else 0))
@@ -54,6 +61,7 @@ def band_keys(rows: int, bands: int):
 
 def links(sets: DataFrame, num: int = 4, den: int = 5, rows: int | None = None) -> DataFrame:
     """(a, b, ...): all found pairs of different word sets with similarity of at least num/den."""
+    rows = rows or rows_at(sets.where("w is not null").count(), num, den)
     found = setjoin.candidates(sets, band_keys(*shape(num, den, rows)), setjoin.mismatches(num, den))
     return setjoin.verified(sets, found, num, den)
 

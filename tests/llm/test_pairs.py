@@ -122,6 +122,19 @@ def test_recall_at_other_thresholds(spark, num, den):
     assert len(linked) >= 0.98 * 2 * len(want)
 
 
+def test_bands_follow_from_threshold_and_size():
+    assert neardup.shape(4, 5) == (7, 28) and setjoin.mismatches(4, 5) == 27
+    for n, rows in ((0, 7), (1000, 7), (400_000_000, 7), (400_000_001, 8), (6_000_000_000, 9)):
+        assert neardup.rows_at(n, 4, 5) == rows
+    for num, den in ((1, 2), (7, 10), (4, 5), (9, 10)):
+        for more in range(4):
+            r, b = neardup.shape(num, den, neardup.shape(num, den)[0] + more)
+            assert 1 - (1 - (num / den) ** r) ** b >= 0.998
+    for num, den in ((0, 1), (1, 1), (3, 2)):
+        with pytest.raises(ValueError):
+            neardup.shape(num, den)
+
+
 def test_words_of_a_node_stand_once(spark):
     """A text that half of the rows share is held once, and its other rows are spread by their ids."""
     rows = [(f"S{i:05d}", "one two three four" if i % 2 else f"a{i} b{i} c{i}") for i in range(4000)]
@@ -133,7 +146,7 @@ def test_words_of_a_node_stand_once(spark):
 
 def test_join_of_a_hot_key_is_split(spark):
     """Half of the records share one chunk: adaptive execution splits the join, for both of its sides are plain exchanges."""
-    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "4000000", "spark.sql.files.maxPartitionBytes": "4000000", "spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "4000000", "spark.sql.files.maxPartitionBytes": "4000000", "spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
     old = {k: spark.conf.get(k) for k in conf}
     common = " ".join(f"c{i}" for i in range(40))
     rows = [(f"S{i:05d}", f"{common} x{i} y{i} z{i} u{i} v{i}" if i % 2 else " ".join(f"q{i}w{j}" for j in range(20))) for i in range(1200)]
