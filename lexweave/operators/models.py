@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.keys import computed_once
 from lexweave.operators import decisions, features
 from lexweave.session import materialize
 
 
 def with_features(df: DataFrame, text: str) -> DataFrame:
-    """Adds the eight actionability features and `words` (lower-case words; '' for null)."""
+    """Adds the eight actionability features and `terms`: the text's words and pairs of neighbouring words (none for null)."""
     x = df.withColumns({k: v.cast("double") for k, v in features.actionability(F.col(text)).items()})
-    return x.withColumn("words", F.coalesce(F.lower(text), F.lit("")))
+    words = F.filter(F.split(F.coalesce(F.lower(text), F.lit("")), "[^a-z0-9]+"), lambda w: w != "")
+    x = computed_once(x, _w=words)
+    pairs = F.zip_with(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return x.withColumn("terms", F.concat("_w", pairs)).drop("_w")
 
 
 def with_weight(df: DataFrame, label: str) -> DataFrame:
@@ -28,23 +32,18 @@ def _front(label: str, buckets: int) -> list:
     names = list(features.actionability(F.lit("")))
     return [
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        RegexTokenizer(inputCol="words", outputCol="tok", pattern="[^a-z0-9]+"),
-        NGram(n=2, inputCol="tok", outputCol="pairs"),
-        HashingTF(numFeatures=buckets, inputCol="tok", outputCol="tf1"),
-        HashingTF(numFeatures=buckets, inputCol="pairs", outputCol="tf2"),
-        IDF(inputCol="tf1", outputCol="idf1"),
-        IDF(inputCol="tf2", outputCol="idf2"),
-        Normalizer(inputCol="idf1", outputCol="n1"),
-        Normalizer(inputCol="idf2", outputCol="n2"),
-        VectorAssembler(inputCols=["n1", "n2", *names], outputCol="features", handleInvalid="keep"),
+        HashingTF(numFeatures=2 * buckets, inputCol="terms", outputCol="tf"),
+        IDF(inputCol="tf", outputCol="idf"),
+        Normalizer(inputCol="idf", outputCol="n"),
+        VectorAssembler(inputCols=["n", *names], outputCol="features", handleInvalid="keep"),
     ]
 
 
-def logistic(df: DataFrame, text: str, label: str, c: float = 1.0, buckets: int = 1 << 12, steps: int = 50) -> PipelineModel:
+def logistic(df: DataFrame, text: str, label: str, c: float = 1.0, buckets: int = 1 << 12, steps: int = 1000, tol: float = 1e-4) -> PipelineModel:
     """Multinomial regression with balanced weights; c is the inverse penalty summed over rows, as regParam = 1 / (c * weights)."""
     x = materialize(with_weight(with_features(df.where(F.col(label).isNotNull()), text), label), "features")  # read by every stage's fit
     total = x.agg(F.sum("weight")).first()[0] or 1.0
-    lr = LogisticRegression(family="multinomial", weightCol="weight", standardization=False, regParam=1.0 / (c * total), maxIter=steps)
+    lr = LogisticRegression(family="multinomial", weightCol="weight", standardization=False, regParam=1.0 / (c * total), maxIter=steps, tol=tol)
     return Pipeline(stages=[*_front(label, buckets), lr]).fit(x)
 
 

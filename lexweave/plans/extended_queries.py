@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from lexweave.functions import lexicons as L
 from lexweave.functions import text as T
 from lexweave.operators import curation, decisions, duplicates, features, models, routing, scorecard, taxonomy
-from lexweave.plans.registry import Query, lit, sql_canonical, sql_display, sql_line, table
+from lexweave.plans.registry import Query, lit, sql_canonical, sql_display, sql_heading, sql_joined, sql_line, sql_whole, table
 from lexweave.plans.report_queries import CONF_SQL, GUESS, PROB, RANK_SQL, REPORT_SQL, T_, WORDS, _confusion, _probabilities, _rankings
-from lexweave.plans.structure_queries import HASH, KEYWORDS, LAST, NEAR_SQL, ONE, _entries, _labels, _one, _protos, _sql_score
+from lexweave.plans.structure_queries import BLOCK_SQL, HASH, KEYWORDS, NEAR_SQL, ONE, PAGE_ONE, REPEATED_SQL, _entries, _labels, _one, _protos, _sql_score
 from lexweave.session import delete_later, materialize, shared_dir
 from lexweave.sources import clients, readers
 from lexweave.streaming import cache
@@ -107,6 +107,38 @@ SQL["clus_first_match"] = "select id::bigint as id, leader::bigint as leader fro
 )
 
 
+# --- clauses built from pages in SQL ------------------------------------------------------------------------------------------------
+def sql_normalize(c: str) -> str:
+    """normalize() with its line breaks."""
+    x = f"replace(replace({c}, chr(173), ''), chr(160), ' ')"
+    for pattern, by in (("\\r\\n?", "\n"), ("(\\w)-\\n(\\w)", "\\1\\2"), ("(\\w)-\\n(\\w)", "\\1\\2"), ("[ \\t]+", " "), ("\\n{3,}", "\n\n"), ("^\\s+|\\s+$", "")):
+        x = f"regexp_replace({x}, {lit(pattern)}, {lit(by)}, 'g')"
+    return x
+
+
+CLEAN_SQL = (
+    f"(with r as ({REPEATED_SQL}), k as (select l.*, r.line_key is not null gone from (select doc, page_number, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from {PAGE_ONE}) l left join r on r.doc = l.doc and r.line_key = lower({sql_line('line')})),"
+    f" t as (select doc, page_number, string_agg(line, chr(10) order by n) filter (not gone) x from k group by doc, page_number) select p.doc, p.page_number, {sql_normalize("coalesce(x, '')")} as text from {PAGE_ONE} p left join t on t.doc = p.doc and t.page_number = p.page_number)"
+)
+CLEAN_BLOCKS = f"(select doc, page_number, block_no, {sql_joined('block')} f from ({BLOCK_SQL.replace(PAGE_ONE, CLEAN_SQL)}))"
+IS_JUNK = f"(f = '' or {sql_whole('f', L.JUNK_POLICY)})"
+IS_HEADING = sql_heading("f", 140, 100, L.HEADING)
+PIECES = SPLIT_SQL.split("case when", 1)[1].split(" p from", 1)[0]
+SQL |= {
+    "seg_review": f"select doc, page_number, block_no, left(f, 2000) as review_text, case when {IS_JUNK} then 'navigation' else 'very short' end as reason from {CLEAN_BLOCKS} where {IS_JUNK} or (not {IS_HEADING} and length(f) < {L.MIN_REVIEWABLE})",
+    "seg_build": (
+        f"with b as (select *, {IS_HEADING} h, {IS_JUNK} j from {CLEAN_BLOCKS}), c as (select *, last_value(case when h then f end ignore nulls) over (partition by doc order by page_number, block_no rows between unbounded preceding and 1 preceding) sh from b),"
+        f" s as (select doc, page_number, block_no, sh, case when {PIECES.replace(FLAT, 'f')} ps from c where not h and not j), q as (select doc, page_number, block_no, sh, unnest(ps) x, generate_subscripts(ps, 1) i from s)"
+        f" select doc, page_number, sh as section_heading, (row_number() over (partition by doc order by page_number, block_no, i))::int as clause_index, x as clause_text, length(x) < {L.MIN_REVIEWABLE} as tiny from q"
+    ),
+}
+CITED = f"select distinct c || chr(1) || category || chr(1) || taxonomy_id id, c || chr(1) || category blk, list_distinct(regexp_extract_all({sql_canonical('requirement')}, '[a-z0-9]+')) w from (select taxonomy_id, category, requirement, unnest(source_clause_ids) c from rules)"
+BOTH = "len(list_intersect(a.w, b.w))"
+SQL["dup_multi_map"] = "select split_part(id, chr(1), 1) as clause_id, split_part(id, chr(1), 3) as id from " + sql_leaders(
+    f"select id from ({CITED})", f"select a.id a, b.id b, 1.0::double sim from ({CITED}) a join ({CITED}) b on a.blk = b.blk and a.id < b.id where (len(a.w) = 0 and len(b.w) = 0) or {BOTH} * 100 >= (len(a.w) + len(b.w) - {BOTH}) * 85"
+) + " where id = leader"
+
+
 # --- duplicates: classes and members ------------------------------------------------------------------------------------------------
 def _entry_key():
     return [F.col("category"), T.canonical(F.col("requirement")), T.canonical(F.col("act"))]

@@ -235,7 +235,7 @@ FEATURES = [
 def _predicted(spark, d):
     """Labels of clauses without a verdict, by a model fitted on the labelled ones."""
     x = _labels(spark, d).join(_one(spark, d).select("clause_id", "clause_text"), "clause_id")
-    model = models.logistic(x.where("verdict is not null"), "clause_text", "verdict", steps=15)
+    model = models.logistic(x.where("verdict is not null"), "clause_text", "verdict", steps=100)
     return models.predict(model, x.where("verdict is null"), "clause_text").select("clause_id", "guess")
 
 
