@@ -1,10 +1,11 @@
-"""Every core query on the smallest tables: against SQL where there is SQL, else that it runs twice alike."""
+"""Every core query on the smallest tables: against SQL where there is SQL, else that it runs and names its columns."""
 
 import os
 
 import pytest
 
 from lexweave.plans.all_queries import QUERIES
+from lexweave.session import scratch
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -32,8 +33,9 @@ def duck():
 
 @pytest.mark.parametrize("query", QUERIES, ids=lambda q: q.name)
 def test_query(spark, duck, query):
-    df = query.run(spark, FOLDER)
-    got = plain(df.collect(), df.columns)
+    with scratch():
+        df = query.run(spark, FOLDER)
+        got = plain(df.collect(), df.columns)
     if query.sql is None:
         assert df.columns and len(set(df.columns)) == len(df.columns)
         return
