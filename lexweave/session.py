@@ -62,27 +62,28 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-_SCOPES: list[list[tuple[SparkSession, str]]] = []
+_SCOPES: list[list[str]] = []  # paths only: functions sent to workers may bring this module along, and a session can't be sent
 
 
 @contextlib.contextmanager
 def scratch():
     """Intermediate tables made inside are deleted at the end of the block: read or write the result within it. Without such a
     block they stay until the process ends, for a DataFrame that is still to be run may need them."""
-    mine: list[tuple[SparkSession, str]] = []
+    mine: list[str] = []
     _SCOPES.append(mine)
     try:
         yield
     finally:
         _SCOPES.remove(mine)
-        for spark, path in mine:
+        spark = SparkSession.getActiveSession()
+        for path in mine if spark else ():
             _delete(spark, path)
 
 
 def delete_later(spark: SparkSession, path: str) -> None:
     """Deletes the folder at the end of the innermost scratch() block, or when the process ends."""
     if _SCOPES:
-        _SCOPES[-1].append((spark, path))
+        _SCOPES[-1].append(path)
     else:
         atexit.register(_delete, spark, path)
 

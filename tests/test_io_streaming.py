@@ -119,3 +119,22 @@ def test_classifier_learns(spark):
     m = models.logistic(df, "t", "y", c=100.0, buckets=256)
     got = {r["t"]: r["guess"] for r in models.predict(m, df.drop("y"), "t").collect()}
     assert got == dict(data)
+
+
+def test_scratch_tables_end_with_their_block(spark):
+    """Intermediates are there inside the block and gone after it; functions that bring the module along can still be sent."""
+    import pathlib
+
+    from lexweave import session
+
+    with session.scratch():
+        made = session.materialize(spark.range(5), "tested")
+        files = [pathlib.Path(f.removeprefix("file://").removeprefix("file:")) for f in made.inputFiles()]
+        assert all(f.exists() for f in files)
+
+        def run(batches):
+            assert session._SCOPES is not None  # refers to the module
+            yield from batches
+
+        assert made.mapInArrow(run, "id bigint").count() == 5
+    assert not any(f.exists() for f in files)
