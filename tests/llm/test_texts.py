@@ -27,6 +27,28 @@ def test_repeated_lines(spark):
     assert boilerplate.repeated_lines(blocks, pages, 8, 0.99).count() == 0
 
 
+def test_join_of_a_hot_line_is_split(spark):
+    """One notice stands in every document of a site that has all rows: the join with the frequent lines is split, without broadcasts."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5000",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    blocks = spark.createDataFrame([(f"b{i:05d}", "Site", f"f{i}", 1, f"All rights reserved\nOwn text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(4000)], BLOCKS).repartition(8)
+    pages = spark.createDataFrame([("none", 1, "x", True)], PAGES)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = boilerplate.repeated_lines(blocks, pages)
+        n = got.count()
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == 4000 and "skew=true" in plan
+
+
 STARTS = [
     ("One two. Three four.", ["Three"]),
     ("Use Sec. 4.2 and Art. 3 of No. 12, e.g. this, i.e. that vs. those. Next", ["Next"]),
