@@ -88,6 +88,16 @@ def concentration(labels: DataFrame, rule: str = "best_match_taxonomy_id") -> Da
     return g.agg(F.coalesce(F.try_divide(F.max("n"), F.sum("n")), F.lit(0.0)).alias("top_share"), F.count("*").alias("rules"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of two whole numbers over the rows that have both. Of exact sums, so that order and partitions don't matter; NaN
+    where one of the two doesn't vary, where corr() divides by zero, and null without rows."""
+    x, y = F.when(y.isNotNull(), x).cast("long"), F.when(x.isNotNull(), y).cast("long")
+    n, sx, sy, sxx, syy, sxy = (F.sum(v.cast("decimal(20,0)")) for v in (F.when(x.isNotNull(), 1), x, y, x * x, y * y, x * y))
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    r = (n * sxy - sx * sy).cast("double") / (F.sqrt(vx.cast("double")) * F.sqrt(vy.cast("double")))
+    return F.when((vx == 0) | (vy == 0), float("nan")).otherwise(r)
+
+
 def target_status(n: Column, low: Column, high: Column) -> Column:
     return F.when(low.isNull(), "NO_TARGET_DEFINED").when(n < low, "BELOW_TARGET").when(n > high, "ABOVE_TARGET").otherwise("WITHIN_TARGET")
 

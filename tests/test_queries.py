@@ -47,3 +47,25 @@ def test_query(spark, duck, query):
 
 def test_names_are_unique():
     assert len({q.name for q in QUERIES}) == len(QUERIES)
+
+
+def test_verbosity_of_documents_that_do_not_vary(spark, tmp_path):
+    """Texts of one length, of one number of words or of both have no correlation: NaN as in SQL, not a division by zero."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = {
+        "same": ["a text of five words"] * 49,
+        "one length": ["abc", "a c"],
+        "one count": ["abc", "abcd", "abcde"],
+        "blank": ["", " ", " \t"],
+        "varied": ["a", "a bc", "def", "a b c"],
+        "with null": ["a", "a", None],
+        "alone": ["a"],
+    }
+    rows = [(f"S{i:03d}{j:03d}", t, "app", k) for i, (k, ts) in enumerate(texts.items()) for j, t in enumerate(ts)]
+    spark.createDataFrame(rows, "clause_id string, clause_text string, app_name string, source_document string").repartition(7).write.parquet(f"{tmp_path}/policy_clauses.parquet")
+    query = next(q for q in QUERIES if q.name == "agg_verbosity_corr")
+    got = {r["source_document"]: (r["n"], repr(r["r"])) for r in query.run(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view policy_clauses as select * from '{tmp_path}/policy_clauses.parquet/*.parquet'")
+    assert got == {d: (n, repr(r)) for d, n, r in c.execute(query.sql).fetchall()}
+    assert [k for k, (_, r) in sorted(got.items()) if r != "nan"] == ["varied"] and got["same"] == (49, "nan")
